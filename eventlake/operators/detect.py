@@ -7,6 +7,7 @@ event's logsource. Both feed the same `explode`, so events are read and parsed o
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from eventlake.operators.predicates import (
     BodyFields,
     Fields,
     TableFields,
-    equality_terms,
+    equality_choices,
     rule_test,
     sql_text,
 )
@@ -88,17 +89,27 @@ def check_regexes(spark: SparkSession, patterns: Iterable[str]) -> None:
             raise RuleError(f"bad pattern {pattern!r}") from exc
 
 
+TERM_SCHEMA = "__sig string, __key array<string>, __earlier array<array<string>>, __rule string"
+
+
 def _term_rows(rules: list[Rule]) -> tuple[list[tuple], dict[tuple, str]]:
-    """(signature, values, rule id) rows, and the signatures: logsource parts set, field names."""
+    """Rows of TERM_SCHEMA, and the signatures: logsource parts set, field names.
+
+    `__earlier` holds per value the alternatives listed before it. An event whose array fields hold
+    several of a rule's alternatives counts once: only its first alternatives make the hit.
+    """
     signatures: dict[tuple, str] = {}
     rows = []
     for rule in rules:
         parts = tuple(p for p, v in zip(PARTS, rule.logsource) if v is not None)
         head = [v for v in rule.logsource if v is not None]
-        for term in equality_terms(rule) or []:
-            names = tuple(sorted(term))
-            label = signatures.setdefault((parts, names), f"s{len(signatures)}")
-            rows.append((label, head + [term[n] for n in names], rule.id))
+        choices = equality_choices(rule) or {}
+        label = signatures.setdefault((parts, tuple(choices)), f"s{len(signatures)}")
+        for picks in itertools.product(*[range(len(c)) for c in choices.values()]):
+            picked = list(zip(choices.values(), picks))
+            values = head + [texts[i] for texts, i in picked]
+            earlier = [[] for _ in head] + [texts[:i] for texts, i in picked]
+            rows.append((label, values, earlier, rule.id))
     return rows, signatures
 
 
@@ -119,7 +130,7 @@ def match_rules(
     if prepared.fixed is not None:  # checked above; no part is left to test per row
         active = [Rule(id=r.id, title=r.title, detection=r.detection) for r in active]
 
-    equal = [r for r in active if equality_terms(r) is not None]
+    equal = [r for r in active if equality_choices(r) is not None]
     joined = strategy == "join" or (strategy == "auto" and len(equal) >= JOIN_FROM)
     lookup = equal if joined else []
     looked_up = {r.id for r in lookup}
@@ -137,13 +148,16 @@ def match_rules(
 
     terms, signatures = _term_rows(lookup)
     check_regexes(df.sparkSession, fields.regexes)
-    ids = [f"transform(array_compact({a}), r -> {_candidate('r')})" for a in arrays]
-    keys = []
-    for (parts, names), label in signatures.items():
-        head = [f"array({prepared.logsource[p]})" for p in parts]
-        values = [_values(fields, n) for n in names]
-        keys.append(_product(head + values, label))
-    extracted = df.select(*keep, *[F.expr(sql).alias(name) for name, sql in fields.columns.items()])
+    ids = [f"transform(array_compact({a}), r -> {_candidate(rule_id='r')})" for a in arrays]
+    keys = [
+        _keys(fields, [prepared.logsource[p] for p in parts], names, label)
+        for (parts, names), label in signatures.items()
+    ]
+    extracted = df.select(
+        *keep,
+        *prepared.logsource.values(),
+        *[F.expr(sql).alias(name) for name, sql in fields.columns.items()],
+    )
     if not ids and not keys:
         return extracted.select(*keep, F.lit("").alias("rule_id")).where("false")
 
@@ -153,7 +167,7 @@ def match_rules(
         return found.select(*keep, F.col("__c.rule_id").alias("rule_id"))
 
     spark = df.sparkSession
-    table = spark.createDataFrame(terms, "__sig string, __key array<string>, __rule string")
+    table = spark.createDataFrame(terms, TERM_SCHEMA)
     if len(terms) <= MAX_BROADCAST_TERMS:
         table = F.broadcast(table)
     flat = found.select(
@@ -161,39 +175,52 @@ def match_rules(
         F.col("__c.rule_id").alias("__id"),
         F.col("__c.sig").alias("__sig"),
         F.col("__c.key").alias("__key"),
+        F.col("__c.members").alias("__members"),
     )
+    repeated = "exists(zip_with(__earlier, __members, (e, m) -> arrays_overlap(e, m)), o -> o)"
     how = "left" if ids else "inner"
-    hits = flat.join(table, ["__sig", "__key"], how).select(
-        *keep, F.coalesce("__id", "__rule").alias("rule_id")
+    hits = (
+        flat.join(table, ["__sig", "__key"], how)
+        .where(f"__members IS NULL OR __rule IS NULL OR NOT {repeated}")
+        .select(*keep, F.coalesce("__id", "__rule").alias("rule_id"))
     )
     if ids:
         hits = hits.where("rule_id IS NOT NULL")
     return hits
 
 
-_CANDIDATE = "named_struct('rule_id', {}, 'sig', {}, 'key', {})"
-
-
-def _candidate(rule_id: str) -> str:
-    return _CANDIDATE.format(rule_id, "CAST(NULL AS STRING)", "CAST(NULL AS ARRAY<STRING>)")
-
-
-def _values(fields: Fields, name: str) -> str:
-    """Lower-cased distinct values of a field as an array; an absent field gives no usable key."""
-    value, items = fields.lowered(name), fields.elements(name)
-    if items is None:
-        return f"array({value})"
-    return f"coalesce(array_distinct(transform({items}, x -> lower(x))), array({value}))"
+def _candidate(rule_id: str = "NULL", sig: str = "NULL", key: str = "NULL", members: str = "NULL") -> str:
+    return (
+        f"named_struct('rule_id', CAST({rule_id} AS STRING), 'sig', CAST({sig} AS STRING), "
+        f"'key', CAST({key} AS ARRAY<STRING>), 'members', CAST({members} AS ARRAY<ARRAY<STRING>>))"
+    )
 
 
-def _product(parts: list[str], label: str) -> str:
-    """Candidates of a signature: every combination of the parts' values (one, but for arrays)."""
+def _keys(fields: Fields, logsource: list[str], names: tuple[str, ...], label: str) -> str:
+    """Lookup keys of an event for one signature: one, or one per combination of array elements."""
+    values = logsource + [fields.lowered(n) for n in names]
+    known = " AND ".join(f"{v} IS NOT NULL" for v in values)
+    single = _candidate(sig=sql_text(label), key=f"array({', '.join(values)})")
+    scalar = f"CASE WHEN {known} THEN array({single}) END"
+    items = {n: fields.elements(n) for n in names}
+    if not any(items.values()):
+        return scalar
+
+    members = [f"array({v})" for v in logsource]
+    for name in names:
+        column = items[name]
+        distinct = f"array_distinct(array_compact(transform({column}, x -> lower(x))))"
+        members.append(f"coalesce({distinct}, array_compact(array({fields.lowered(name)})))")
     combos = "array(cast(array() as array<string>))"
-    for part in parts:
-        combos = f"flatten(transform({combos}, c -> transform({part}, v -> array_append(c, v))))"
-    usable = f"filter({combos}, c -> forall(c, v -> v IS NOT NULL))"
-    shaped = _CANDIDATE.format("CAST(NULL AS STRING)", sql_text(label), "c")
-    return f"transform({usable}, c -> {shaped})"
+    for i in range(len(members)):
+        combos = f"flatten(transform({combos}, c -> transform(m[{i}], v -> array_append(c, v))))"
+    each = _candidate(sig=sql_text(label), key="c", members="m")
+    several = (
+        f"transform(array(array({', '.join(members)})), m -> "
+        f"transform({combos}, c -> {each}))[0]"
+    )
+    flat = " AND ".join(f"{c} IS NULL" for c in items.values() if c)
+    return f"CASE WHEN {flat} THEN {scalar} ELSE {several} END"
 
 
 # --- findings -----------------------------------------------------------------------------------

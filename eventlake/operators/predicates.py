@@ -10,6 +10,7 @@ import base64
 import fnmatch
 import itertools
 import json
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -434,20 +435,18 @@ def rule_test(fields: Fields, rule: Rule) -> str:
         raise RuleError(f"rule {rule.id}: {exc}") from exc
 
 
-def equality_terms(rule: Rule, limit: int = 1000) -> list[dict[str, str]] | None:
-    """The rule as alternatives of plain field = text, None when it is anything more."""
+def equality_choices(rule: Rule, limit: int = 1000) -> dict[str, list[str]] | None:
+    """Per field the texts it may equal, for a rule that is just that; None for any other rule.
+
+    Rules with more than `limit` combinations are left to the predicate form.
+    """
     body = rule.detection.get(str(rule.detection["condition"]).strip())
     if not isinstance(body, dict) or not body:
         return None
-    choices = []
-    total = 1
-    for key, value in body.items():
+    choices: dict[str, list[str]] = {}
+    for key, value in sorted(body.items()):
         texts = [plain_text(v) for v in (value if isinstance(value, list) else [value])]
         if not key or "|" in key or None in texts or not texts:
             return None
-        options = list(dict.fromkeys(t.lower() for t in texts))
-        total *= len(options)
-        if total > limit:
-            return None
-        choices.append([(key, t) for t in options])
-    return [dict(combo) for combo in itertools.product(*choices)]
+        choices[key] = list(dict.fromkeys(t.lower() for t in texts))
+    return choices if math.prod(map(len, choices.values())) <= limit else None
