@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +32,18 @@ def derived_id(*parts: Column) -> Column:
 
 
 def with_entries(metadata: Column, **entries: Column) -> Column:
-    """Set map entries whose value is not NULL; an existing entry of the same key is replaced."""
-    names = list(entries)
+    """Set map entries; an entry whose new value is NULL stays as it was."""
     pairs = F.array(
-        *[F.struct(F.lit(name).alias("key"), entries[name].alias("value")) for name in names]
+        *[
+            F.struct(
+                F.lit(name).alias("key"),
+                F.coalesce(value, F.try_element_at(metadata, F.lit(name))).alias("value"),
+            )
+            for name, value in entries.items()
+        ]
     )
     fresh = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
-    replaced = reduce(lambda a, b: a | b, [F.map_contains_key(fresh, n) for n in names])
-    kept = F.map_filter(metadata, lambda k, _: ~(k.isin(*names) & F.map_contains_key(fresh, k)))
-    return F.when(replaced, F.map_concat(kept, fresh)).otherwise(metadata)
+    return F.map_concat(F.map_filter(metadata, lambda k, _: ~k.isin(*entries)), fresh)
 
 
 def unwrap_payload(value: Column, fields: Column) -> Column:
@@ -76,11 +77,13 @@ def push_events(landed: DataFrame, text: str = "value", position: tuple[str, ...
 
     A record is ``{"log": {"value", "fields", "metadata_full"}}``; ``metadata_full`` holds ``value``
     (an object), ``source_type``, ``source_id`` and ``source_event_id`` (base64 of 16 bytes).
-    Metric, trace, empty and malformed records get a `reject_reason` and keep their text in `raw`.
+    Metric, trace, empty and malformed records get a `reject_reason`; `raw` and the `position`
+    columns are kept.
     """
-    wrapper = F.try_parse_json(F.col(text))
-    base = landed.select(F.col(text).alias("raw"), *position, wrapper.alias("w")).withColumn(
-        "log", get(F.col("w"), "log")
+    # One projection per step: what several members read is computed once.
+    wrapped = landed.select(*position, F.col(text).alias("raw"), F.try_parse_json(text).alias("w"))
+    logs = wrapped.select("*", get(F.col("w"), "log").alias("log")).withColumn(
+        "meta", get(F.col("log"), "metadata_full")
     )
     reason = (
         F.when(F.col("w").isNull(), "malformed record")
@@ -89,26 +92,39 @@ def push_events(landed: DataFrame, text: str = "value", position: tuple[str, ...
         .when(get(F.col("w"), "trace").isNotNull(), "trace record")
         .otherwise("empty record")
     )
-    log, meta = F.col("log"), get(F.col("log"), "metadata_full")
-    stored = F.coalesce(
-        F.try_variant_get(get(meta, "value"), "$", "map<string,variant>"), F.expr(EMPTY_METADATA)
-    )
-    tagged = with_entries(
-        stored,
-        source_type=variant_of(strict_string(get(meta, "source_type"))),
-        source_id=variant_of(strict_string(get(meta, "source_id"))),
-    )
+    meta = F.col("meta")
     given = uuid_text(
         F.try_to_binary(strict_string(get(meta, "source_event_id")), F.lit("base64"))
     )
-    parsed = base.select(
+    located = derived_id(*[F.col(p) for p in position], F.col("raw"))
+    members = logs.select(
+        *position,
         "raw",
         reason.alias("reject_reason"),
-        F.coalesce(given, derived_id(*[F.col(p) for p in position], F.col("raw"))).alias("event_id"),
-        unwrap_payload(get(log, "value"), get(log, "fields")).alias("data"),
-        lift_ingest_time(tagged).alias("metadata"),
+        F.coalesce(given, located).alias("event_id"),
+        get(F.col("log"), "value").alias("value"),
+        get(F.col("log"), "fields").alias("fields"),
+        F.coalesce(
+            F.try_variant_get(get(meta, "value"), "$", "map<string,variant>"), F.expr(EMPTY_METADATA)
+        ).alias("metadata"),
+        variant_of(strict_string(get(meta, "source_type"))).alias("source_type"),
+        variant_of(strict_string(get(meta, "source_id"))).alias("source_id"),
+    )
+    tagged = members.withColumn(
+        "metadata",
+        with_entries(
+            F.col("metadata"), source_type=F.col("source_type"), source_id=F.col("source_id")
+        ),
+    )
+    lifted = tagged.withColumn("metadata", lift_ingest_time(F.col("metadata")))
+    return lifted.select(
+        *position,
+        "raw",
+        "reject_reason",
+        "event_id",
+        unwrap_payload(F.col("value"), F.col("fields")).alias("data"),
+        with_correlation(F.col("metadata"), F.col("event_id")).alias("metadata"),
     )
-    return parsed.withColumn("metadata", with_correlation(F.col("metadata"), F.col("event_id")))
 
 
 def accepted(df: DataFrame) -> DataFrame:
@@ -128,31 +144,31 @@ def to_output_record(events: DataFrame, restore_source: bool = False) -> DataFra
     the correlation default is applied, and the ingest time goes back below the collector's entry
     when there is one.
     """
-    data, meta, event_id = F.col("data"), F.col("metadata"), F.col("event_id")
+    data, event_id = F.col("data"), F.col("event_id")
     fields = F.when(is_object(data), data).otherwise(F.parse_json(F.lit("{}")))
     members = [event_id.alias("source_event_id")]
     if restore_source:
-        meta = with_correlation(meta, event_id)
-        stamp = strict_string(F.try_element_at(meta, F.lit("timestamp")))
+        meta = F.col("metadata")
+        events = events.withColumn("metadata", with_correlation(meta, event_id))
         collector = F.try_variant_get(
             F.try_element_at(meta, F.lit("vector")), "$", "map<string,variant>"
         )
+        stamp = strict_string(F.try_element_at(meta, F.lit("timestamp")))
+        events = events.withColumns({"__collector": collector, "__stamp": stamp})
         stamped = F.when(
-            collector.isNotNull() & stamp.isNotNull(),
-            F.to_variant_object(with_entries(collector, ingest_timestamp=variant_of(stamp))),
+            F.col("__collector").isNotNull() & F.col("__stamp").isNotNull(),
+            F.to_variant_object(
+                with_entries(F.col("__collector"), ingest_timestamp=variant_of(F.col("__stamp")))
+            ),
         )
-        members += [
-            strict_string(F.try_element_at(meta, F.lit(k))).alias(k)
-            for k in ("source_type", "source_id")
-        ]
-        meta = F.map_filter(
-            with_entries(meta, vector=stamped), lambda k, _: ~k.isin("source_type", "source_id")
-        )
-    full = F.struct(*members, meta.alias("value"))
-    return events.select(
-        "event_id",
-        F.to_json(F.struct(fields.alias("fields"), full.alias("metadata_full"))).alias("record"),
-    )
+        events = events.withColumn("metadata", with_entries(meta, vector=stamped))
+        own = ("source_type", "source_id")
+        members += [strict_string(F.try_element_at(meta, F.lit(k))).alias(k) for k in own]
+        members.append(F.map_filter(meta, lambda k, _: ~k.isin(*own)).alias("value"))
+    else:
+        members.append(F.col("metadata").alias("value"))
+    record = F.struct(fields.alias("fields"), F.struct(*members).alias("metadata_full"))
+    return events.select("event_id", F.to_json(record).alias("record"))
 
 
 def to_matcher_event(events: DataFrame) -> DataFrame:

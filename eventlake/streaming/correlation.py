@@ -22,9 +22,12 @@ def windowed_counts(hits: DataFrame, spec: Correlation, delay: str, time: str =
     if spec.kind == "event_count":
         counted = mine.groupBy(*spec.group_by, window).agg(F.count(F.lit(1)).alias("n"))
     else:
-        # Two-step distinct: streams allow no count(distinct), and a hot window stays small per task.
-        values = F.size(F.collect_set(spec.field)).cast("bigint")
-        counted = mine.groupBy(*spec.group_by, window).agg(values.alias("n"))
+        # Two counting steps instead of a set per group: a hot group stays spread over its values.
+        each = mine.where(F.col(spec.field).isNotNull()).groupBy(*spec.group_by, spec.field, window)
+        again = F.window(F.window_time("window"), f"{spec.span_seconds} seconds")
+        counted = each.agg(F.count(F.lit(1)).alias("__seen")).groupBy(*spec.group_by, again).agg(
+            F.count(F.lit(1)).alias("n")
+        )
     return counted.where(_meets(F.col("n"), spec.condition)).select(
         *spec.group_by,
         F.col("window.start").alias("start"),
