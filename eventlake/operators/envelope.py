@@ -12,9 +12,10 @@ EMPTY_METADATA = "cast(map() as map<string,variant>)"
 
 
 def _dashed(hexes: Column) -> Column:
-    """8-4-4-4-12 text of 32 hex digits."""
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(hexes, start, size) for start, size in cuts])
+    """8-4-4-4-12 text of the first 32 hex digits."""
+    return F.regexp_replace(
+        hexes, "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5"
+    )
 
 
 def uuid_text(id_bytes: Column) -> Column:

@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from eventlake.plans import q_envelope  # noqa: F401
+from eventlake.plans import q_detect, q_envelope  # noqa: F401
 from eventlake.plans.registry import ORACLES, QUERIES  # noqa: F401
