@@ -17,58 +17,79 @@ from eventlake.functions.variants import is_object, json_path, kind
 _MAX_MILLIS = 9_223_372_036_854_775  # timestamps hold microseconds in 64 bits
 
 
-def _scalar(v: Column, dtype: T.DataType) -> Column | None:
+class _Members:
+    """Members of a VARIANT by path. In a table each is read once, into a column of its own."""
+
+    def __init__(self, root: Column, in_table: bool):
+        self.root = root
+        self.in_table = in_table
+        self.values: dict[str, Column] = {}
+        self.kinds: dict[str, Column] = {}
+
+    def at(self, path: tuple[str, ...]) -> tuple[Column, Column]:
+        """(member, its kind); both NULL when absent."""
+        value = F.try_variant_get(self.root, json_path(*path), "variant") if path else self.root
+        if not self.in_table:
+            return value, kind(value)
+        name = json_path(*path)
+        if name not in self.values:
+            self.values[name] = value.alias(f"__v{len(self.values)}")
+            self.kinds[name] = kind(F.col(f"__v{len(self.kinds)}")).alias(f"__k{len(self.kinds)}")
+        index = list(self.values).index(name)
+        return F.col(f"__v{index}"), F.col(f"__k{index}")
+
+
+def _scalar(v: Column, k: Column, dtype: T.DataType) -> Column | None:
     """Value of a scalar type, NULL when the JSON kind does not fit; None for unsupported types."""
-    k = kind(v)
+
+    def read(to: str) -> Column:
+        return F.try_variant_get(v, "$", to)
+
     if isinstance(dtype, (T.IntegerType, T.LongType)):
-        return F.when(k == "BIGINT", F.try_variant_get(v, "$", dtype.simpleString()))
+        return F.when(k == "BIGINT", read(dtype.simpleString()))
     if isinstance(dtype, T.DoubleType):
         number = k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
-        return F.when(number, F.try_variant_get(v, "$", "double"))
+        return F.when(number, read("double"))
     if isinstance(dtype, T.BooleanType):
-        return F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        return F.when(k == "BOOLEAN", read("boolean"))
     if isinstance(dtype, T.StringType):
-        return (
-            F.when(k == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(k == "VOID", F.lit(None).cast("string"))
-            .when(v.isNotNull(), F.to_json(v))
-        )
+        none = F.lit(None).cast("string")
+        return F.when(k == "STRING", read("string")).when(k == "VOID", none).otherwise(F.to_json(v))
     if isinstance(dtype, T.TimestampType):
-        text = F.try_variant_get(v, "$", "string")
-        millis = F.when(k == "BIGINT", F.try_variant_get(v, "$", "bigint")).when(
-            (k == "STRING") & text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")
+        digits = F.regexp_extract(read("string"), "^[+-]?[0-9]+$", 0)
+        millis = F.when(k == "BIGINT", read("bigint")).when(
+            k == "STRING", digits.try_cast("bigint")
         )
-        return F.when(millis.between(-_MAX_MILLIS, _MAX_MILLIS), F.timestamp_millis(millis))
+        return F.timestamp_millis(F.when(F.abs(millis) <= _MAX_MILLIS, millis))
     return None
 
 
 def _member(
-    root: Column, path: tuple[str, ...], dtype: T.DataType, nullable: bool, label: str
+    members: _Members, path: tuple[str, ...], dtype: T.DataType, nullable: bool, label: str
 ) -> tuple[Column, Column | None]:
-    """(value, reject reason or None when the member can never reject) of a member below `root`."""
-    v = F.try_variant_get(root, json_path(*path), "variant") if path else root
+    """(value, reject reason or None when the member can never reject)."""
+    v, k = members.at(path)
     missing = None if nullable else F.when(v.isNull(), F.lit(f"missing required field '{label}'"))
 
     if isinstance(dtype, T.StructType):
         values, reasons = [], []
         for field in dtype.fields:
             value, reason = _member(
-                root, (*path, field.name), field.dataType, field.nullable, f"{label}.{field.name}"
+                members, (*path, field.name), field.dataType, field.nullable, f"{label}.{field.name}"
             )
             values.append(value.alias(field.name))
             reasons.append(reason)
-        wrong = F.when(v.isNotNull() & ~is_object(v), F.lit(f"expected object for '{label}'"))
+        wrong = F.when(~k.startswith("OBJECT"), F.lit(f"expected object for '{label}'"))
         return F.struct(*values), _first(missing, wrong, *reasons)
 
     if isinstance(dtype, T.ArrayType):
         items = F.try_variant_get(v, "$", "array<variant>")
-        nested = label + "[]"
 
         def element(x: Column) -> tuple[Column, Column | None]:
-            return _member(x, (), dtype.elementType, dtype.containsNull, nested)
+            return _member(_Members(x, False), (), dtype.elementType, dtype.containsNull, label + "[]")
 
         value = F.transform(items, lambda x: element(x)[0])
-        wrong = F.when(v.isNotNull() & items.isNull(), F.lit(f"expected array for '{label}'"))
+        wrong = F.when(~k.startswith("ARRAY"), F.lit(f"expected array for '{label}'"))
         bad = None
         if element(F.lit(None).cast("variant"))[1] is not None:
             bad = F.when(
@@ -77,7 +98,7 @@ def _member(
             )
         return value, _first(missing, wrong, bad)
 
-    value = _scalar(v, dtype)
+    value = _scalar(v, k, dtype)
     if value is None:
         unsupported = F.when(v.isNotNull(), F.lit(f"type not supported for '{label}'"))
         return F.lit(None).cast(dtype), _first(missing, unsupported)
@@ -93,18 +114,29 @@ def _first(*reasons: Column | None) -> Column | None:
     return known[0] if len(known) == 1 else F.coalesce(*known)
 
 
-def coerce_columns(data: Column, schema: T.StructType) -> tuple[Column, Column]:
-    """(struct of the schema, reject reason) of a VARIANT column. Structs of rejected rows are partial."""
+def coerce(df: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
+    """Add `row` (the coerced struct, partial for rejected rows) and `reject_reason` (NULL if accepted).
+
+    Three projections: members, their kinds, values. Each member is looked up once per row.
+    """
+    root = F.col(data)
+    members = _Members(root, True)
     values, reasons = [], []
     for field in schema.fields:
-        value, reason = _member(data, (field.name,), field.dataType, field.nullable, field.name)
+        value, reason = _member(members, (field.name,), field.dataType, field.nullable, field.name)
         values.append(value.alias(field.name))
         reasons.append(reason)
-    top = F.when(data.isNull() | ~is_object(data), F.lit("expected object at top level"))
-    return F.struct(*values), _first(top, *reasons)
+    top = F.when(root.isNull() | ~is_object(root), F.lit("expected object at top level"))
+    return (
+        df.select("*", *members.values.values())
+        .select("*", *members.kinds.values())
+        .select(*df.columns, F.struct(*values).alias("row"), _first(top, *reasons).alias("reject_reason"))
+    )
 
 
-def coerce(df: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
-    """Add `row` (the coerced struct) and `reject_reason` (NULL for accepted rows)."""
-    row, reason = coerce_columns(F.col(data), schema)
-    return df.withColumns({"row": row, "reject_reason": reason})
+def accepted_rows(coerced: DataFrame) -> DataFrame:
+    """The schema's columns of accepted rows.
+
+    Not a filter: Spark would push that below the projections and compute every member twice.
+    """
+    return coerced.selectExpr("inline(CASE WHEN reject_reason IS NULL THEN array(row) END)")

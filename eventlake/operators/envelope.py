@@ -129,7 +129,11 @@ def push_events(landed: DataFrame, text: str = "value", position: tuple[str, ...
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    return df.where("reject_reason IS NULL").select("event_id", "data", "metadata")
+    """Events without a reject reason (not a filter: that would be pushed down and parse twice)."""
+    return df.selectExpr(
+        "inline(CASE WHEN reject_reason IS NULL THEN "
+        "array(named_struct('event_id', event_id, 'data', data, 'metadata', metadata)) END)"
+    )
 
 
 def from_json_values(df: DataFrame, data: Column, metadata: Column | None = None, *, ids: list[Column]) -> DataFrame:

@@ -65,6 +65,9 @@ class Fields:
     def lowered(self, name: str) -> str:
         return self._column("l", name, f"lower({self.text_sql(name)})")
 
+    def number(self, name: str) -> str:
+        return self._column("n", name, self.number_sql(name))
+
     def present(self, name: str) -> str:
         return self._column("e", name, self.present_sql(name))
 
@@ -82,6 +85,17 @@ class Fields:
         element = "x" if cased else "lower(x)"
         return f"if({items} IS NULL, {predicate(value)}, exists({items}, x -> {predicate(element)}))"
 
+    def number_test(self, name: str, predicate: Callable[[str], str]) -> str:
+        """Predicate on the value as a number, which is parsed once per row."""
+        items = self.elements(name)
+        if items is None:
+            return predicate(self.number(name))
+        each = f"exists({items}, x -> {predicate('try_cast(x AS DOUBLE)')})"
+        return f"if({items} IS NULL, {predicate(self.number(name))}, {each})"
+
+    def number_sql(self, name: str) -> str:
+        return f"try_cast({self.text_sql(name)} AS DOUBLE)"
+
     # Supplied by the kind of table.
     def text_sql(self, name: str) -> str:
         raise NotImplementedError
@@ -161,6 +175,12 @@ class TableFields(Fields):
             return f"regexp_replace(CAST({column} AS STRING), '[.]0$', '')"
         return column if isinstance(dtype, T.StringType) else f"CAST({column} AS STRING)"
 
+    def number_sql(self, name: str) -> str:
+        column, dtype = self._find(name)
+        if isinstance(dtype, T.NumericType):
+            return f"CAST({column} AS DOUBLE)"
+        return super().number_sql(name)
+
     def present_sql(self, name: str) -> str:
         column, _ = self._find(name)
         return "false" if column is None else f"{column} IS NOT NULL"
@@ -315,9 +335,7 @@ def field_test(fields: Fields, key: str, value: Any) -> str:
                 number = repr(float(v))
             except (TypeError, ValueError) as exc:
                 raise RuleError(f"{key!r} needs a number, not {v!r}") from exc
-            tests.append(
-                fields.test(name, lambda t: f"try_cast({t} AS DOUBLE) {op} {number}D", True)
-            )
+            tests.append(fields.number_test(name, lambda n: f"{n} {op} {number}D"))
         elif "fieldref" in mods:
             other = fields.text(str(v)) if cased else fields.lowered(str(v))
             call = {"equals": "{t} = {o}"}.get(where, where + "({t}, {o})")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from eventlake.functions.variants import get, kind
 from eventlake.model import CLASS_SCHEMAS, CLASSES, FINDING_CLASS_UID, class_dimension, class_path
-from eventlake.operators.coerce import coerce
+from eventlake.operators.coerce import accepted_rows, coerce
 from eventlake.session import scratch_dir
 
 # Writer settings: v2 pages and Snappy; a Bloom filter on the id that alerts are looked up by.
@@ -132,9 +132,7 @@ def store(
             mine = coerce(parts.where(usable & (F.col("part") == uid)).drop("reject_reason"), schemas[uid])
             seen = Observation(f"class-{uid}-{batch_id}")
             counted = mine.observe(seen, F.count("reject_reason").alias("rejected"))
-            write_class(
-                counted.where("reject_reason IS NULL").select("row.*"), base, uid, batch_id
-            )
+            write_class(accepted_rows(counted), base, uid, batch_id)
             rejected = seen.get["rejected"]
             stored[uid] = row["count"] - rejected
             if rejected:

@@ -55,6 +55,8 @@ def rule_from_dict(doc: dict) -> Rule:
     source = doc.get("logsource") or {}
     text = json.dumps(doc, sort_keys=True, default=str)
     ident = str(doc.get("id") or hashlib.sha256(text.encode()).hexdigest()[:32])
+    if "\u0001" in ident:
+        raise RuleError("control character in a rule id")
     return Rule(
         id=ident,
         title=doc.get("title"),

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes: beyond that, split code beats fused code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
