@@ -26,9 +26,7 @@ def read_text(
 ) -> DataFrame:
     """Landed text with its file: one row per line, or per file for `whole`."""
     reader = _reader(spark, streaming, max_files).option("recursiveFileLookup", "true")
-    if whole:
-        reader = reader.option("wholetext", "true")
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def read_pushed(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
