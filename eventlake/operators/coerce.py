@@ -8,6 +8,9 @@ becomes an object of nulls; a missing array becomes NULL.
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,23 +117,31 @@ def _first(*reasons: Column | None) -> Column | None:
     return known[0] if len(known) == 1 else F.coalesce(*known)
 
 
-def coerce(df: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
-    """Add `row` (the coerced struct, partial for rejected rows) and `reject_reason` (NULL if accepted).
-
-    Three projections: members, their kinds, values. Each member is looked up once per row.
-    """
+@lru_cache(maxsize=256)
+def _projections(schema_json: str, data: str) -> tuple[list[Column], list[Column], Column, Column]:
+    """Columns of the three projections. Building them takes longer than planning, so they are kept."""
     root = F.col(data)
     members = _Members(root, True)
     values, reasons = [], []
-    for field in schema.fields:
+    for field in T.StructType.fromJson(json.loads(schema_json)).fields:
         value, reason = _member(members, (field.name,), field.dataType, field.nullable, field.name)
         values.append(value.alias(field.name))
         reasons.append(reason)
     top = F.when(root.isNull() | ~is_object(root), F.lit("expected object at top level"))
+    reason = _first(top, *reasons)
+    return list(members.values.values()), list(members.kinds.values()), F.struct(*values), reason
+
+
+def coerce(df: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
+    """Add `row` (the coerced struct, partial for rejected rows) and `reject_reason` (NULL if accepted).
+
+    Three projections: members, their kinds, values. Each member is looked up once per row.
+    """
+    members, kinds, row, reason = _projections(schema.json(), data)
     return (
-        df.select("*", *members.values.values())
-        .select("*", *members.kinds.values())
-        .select(*df.columns, F.struct(*values).alias("row"), _first(top, *reasons).alias("reject_reason"))
+        df.select("*", *members)
+        .select("*", *kinds)
+        .select(*df.columns, row.alias("row"), reason.alias("reject_reason"))
     )
 
 

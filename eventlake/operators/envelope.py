@@ -32,19 +32,15 @@ def derived_id(*parts: Column) -> Column:
     return _dashed(F.sha2(text, 256))
 
 
-def with_entries(metadata: Column, **entries: Column) -> Column:
-    """Set map entries; an entry whose new value is NULL stays as it was."""
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("key"),
-                F.coalesce(value, F.try_element_at(metadata, F.lit(name))).alias("value"),
-            )
-            for name, value in entries.items()
-        ]
-    )
-    fresh = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
-    return F.map_concat(F.map_filter(metadata, lambda k, _: ~k.isin(*entries)), fresh)
+def with_entries(metadata: Column, *, drop: tuple[str, ...] = (), **entries: Column) -> Column:
+    """Set map entries; an entry whose new value is NULL stays as it was. `drop` removes entries."""
+    none = F.expr(EMPTY_METADATA)
+    kept = F.map_filter(metadata, lambda k, _: ~k.isin(*drop, *entries))
+    fresh = []
+    for name, value in entries.items():
+        final = F.coalesce(value, F.try_element_at(metadata, F.lit(name)))
+        fresh.append(F.when(final.isNotNull(), F.create_map(F.lit(name), final)).otherwise(none))
+    return F.map_concat(kept, *fresh)
 
 
 def unwrap_payload(value: Column, fields: Column) -> Column:
@@ -58,12 +54,20 @@ def unwrap_payload(value: Column, fields: Column) -> Column:
     )
 
 
+COLLECTOR = "vector"  # fixed value: the entry of the collecting agent
+
+
+def ingest_stamp(metadata: Column) -> Column:
+    """The collector's ingest time, when that is a string."""
+    return strict_string(
+        get(F.try_element_at(metadata, F.lit(COLLECTOR)), "ingest_timestamp")
+    )
+
+
 def lift_ingest_time(metadata: Column) -> Column:
-    """Drop the collector's own entry; keep its ingest time, when that is a string, as `timestamp`."""
-    collector = F.try_element_at(metadata, F.lit("vector"))
-    rest = F.map_filter(metadata, lambda k, _: k != "vector")
-    stamp = strict_string(get(collector, "ingest_timestamp"))
-    return with_entries(rest, timestamp=variant_of(stamp))
+    """Drop the collector's own entry; keep its ingest time as `timestamp`."""
+    stamp = variant_of(ingest_stamp(metadata))
+    return with_entries(metadata, drop=(COLLECTOR,), timestamp=stamp)
 
 
 def with_correlation(metadata: Column, event_id: Column) -> Column:
@@ -111,20 +115,30 @@ def push_events(landed: DataFrame, text: str = "value", position: tuple[str, ...
         variant_of(strict_string(get(meta, "source_type"))).alias("source_type"),
         variant_of(strict_string(get(meta, "source_id"))).alias("source_id"),
     )
-    tagged = members.withColumn(
-        "metadata",
-        with_entries(
-            F.col("metadata"), source_type=F.col("source_type"), source_id=F.col("source_id")
-        ),
+    own = F.col("metadata")
+    stamped = members.withColumns(
+        {
+            "stamp": variant_of(ingest_stamp(own)),
+            "correlation": F.coalesce(
+                F.try_element_at(own, F.lit("correlation_uid")), variant_of(F.col("event_id"))
+            ),
+        }
+    )
+    metadata = with_entries(
+        own,
+        drop=(COLLECTOR,),
+        source_type=F.col("source_type"),
+        source_id=F.col("source_id"),
+        timestamp=F.col("stamp"),
+        correlation_uid=F.col("correlation"),
     )
-    lifted = tagged.withColumn("metadata", lift_ingest_time(F.col("metadata")))
-    return lifted.select(
+    return stamped.select(
         *position,
         "raw",
         "reject_reason",
         "event_id",
         unwrap_payload(F.col("value"), F.col("fields")).alias("data"),
-        with_correlation(F.col("metadata"), F.col("event_id")).alias("metadata"),
+        metadata.alias("metadata"),
     )
 
 
@@ -156,7 +170,7 @@ def to_output_record(events: DataFrame, restore_source: bool = False) -> DataFra
         meta = F.col("metadata")
         events = events.withColumn("metadata", with_correlation(meta, event_id))
         collector = F.try_variant_get(
-            F.try_element_at(meta, F.lit("vector")), "$", "map<string,variant>"
+            F.try_element_at(meta, F.lit(COLLECTOR)), "$", "map<string,variant>"
         )
         stamp = strict_string(F.try_element_at(meta, F.lit("timestamp")))
         events = events.withColumns({"__collector": collector, "__stamp": stamp})
@@ -166,7 +180,7 @@ def to_output_record(events: DataFrame, restore_source: bool = False) -> DataFra
                 with_entries(F.col("__collector"), ingest_timestamp=variant_of(F.col("__stamp")))
             ),
         )
-        events = events.withColumn("metadata", with_entries(meta, vector=stamped))
+        events = events.withColumn("metadata", with_entries(meta, **{COLLECTOR: stamped}))
         own = ("source_type", "source_id")
         members += [strict_string(F.try_element_at(meta, F.lit(k))).alias(k) for k in own]
         members.append(F.map_filter(meta, lambda k, _: ~k.isin(*own)).alias("value"))

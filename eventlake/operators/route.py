@@ -5,7 +5,9 @@ Rows without a usable class, and rows their class's schema rejects, go to a quar
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ FINDING_WRITE_OPTIONS = {
     "parquet.bloom.filter.enabled#metadata.uid": "true",
     "parquet.bloom.filter.expected.ndv#metadata.uid": "1000000",
 }
+JOBS_AT_ONCE = 8
 # Annotations kept with every stored column set.
 CREATED_BY = "eventlake"
 
@@ -120,24 +123,29 @@ def store(
         usable = F.col("reject_reason").isNull()
     try:
         present = parts.where(usable).groupBy("part").count().collect()  # at most the known classes
-        stored = {}
-        for row in present:
-            uid = int(row["part"])
+
+        def store_class(uid: int, count: int) -> int:
+            mine = parts.where(usable & (F.col("part") == uid))
             if uid not in schemas:  # findings arrive typed, through store_findings
-                mine = parts.where(usable & (F.col("part") == uid)).withColumn(
-                    "reject_reason", F.lit("written by detection only")
-                )
-                _write_quarantine(quarantine_rows(mine), quarantine, str(uid), batch_id)
-                continue
-            mine = coerce(parts.where(usable & (F.col("part") == uid)).drop("reject_reason"), schemas[uid])
-            seen = Observation(f"class-{uid}-{batch_id}")
-            counted = mine.observe(seen, F.count("reject_reason").alias("rejected"))
+                aside = mine.withColumn("reject_reason", F.lit("written by detection only"))
+                _write_quarantine(quarantine_rows(aside), quarantine, str(uid), batch_id)
+                return 0
+            coerced = coerce(mine.drop("reject_reason"), schemas[uid])
+            seen = Observation()
+            counted = coerced.observe(seen, F.count("reject_reason").alias("rejected"))
             write_class(accepted_rows(counted), base, uid, batch_id)
             rejected = seen.get["rejected"]
-            stored[uid] = row["count"] - rejected
             if rejected:
-                bad = mine.where("reject_reason IS NOT NULL")
+                bad = coerced.where("reject_reason IS NOT NULL")
                 _write_quarantine(quarantine_rows(bad), quarantine, str(uid), batch_id)
+            return count - rejected
+
+        # The classes' jobs do not depend on each other: submitted together, small classes fill the
+        # executors that the last tasks of a large one leave idle.
+        work = inheritable_thread_target(spark)(store_class)
+        with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
+            jobs = {int(r["part"]): pool.submit(work, int(r["part"]), r["count"]) for r in present}
+        stored = {uid: job.result() for uid, job in jobs.items() if uid in schemas}
         unusable = parts.where(~usable)
         if not unusable.isEmpty():
             _write_quarantine(quarantine_rows(unusable), quarantine, "unrouted", batch_id)
