@@ -114,14 +114,13 @@ def _slices(df: DataFrame, span: int) -> DataFrame:
 
 
 def _sweep(deltas: DataFrame, group: list[str]) -> DataFrame:
-    """Running sum of +/- changes per slice, taken after all changes of an instant."""
-    merged = deltas.groupBy(*group, "__slot", "__us").agg(
-        F.sum("__d").alias("__d"), F.max("__own").alias("__own")
-    )
-    running = Window.partitionBy(*group, "__slot").orderBy("__us").rowsBetween(
+    """Running sum of +/- changes per slice, all changes of an instant included."""
+    upto = Window.partitionBy(*group, "__slot").orderBy("__us").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return merged.withColumn("n", F.sum("__d").over(running)).where("__own").select(*group, "__us", "n")
+    counted = deltas.withColumn("n", F.sum("__d").over(upto)).where("__own")
+    # The rows are already partitioned by group and slice, so this needs no shuffle.
+    return counted.groupBy(*group, "__slot", "__us").agg(F.max("n").alias("n")).drop("__slot")
 
 
 def _changes(rows: DataFrame, group: list[str], span: int, amount: Column, starts: Column, ends: Column) -> DataFrame:
@@ -156,7 +155,8 @@ def value_counts(hits: DataFrame, group: list[str], field: str, span: int) -> Da
     instants = hits.groupBy(*group, "__us", field).agg(F.lit(1).alias("__one"))
     order = Window.partitionBy(*group, "__slot", field).orderBy("__us")
     reach = F.lit(span * 1_000_000)
-    rows = _slices(instants, span).select(
+    # One shuffle serves both windows: by value within a slice, then over the slice.
+    rows = _slices(instants, span).repartition(*group, "__slot").select(
         "*",
         (F.col("__us") - F.lag("__us").over(order)).alias("__back"),
         (F.lead("__us").over(order) - F.col("__us")).alias("__ahead"),
@@ -195,6 +195,7 @@ def sequences(hits: DataFrame, group: list[str], rules: tuple[str, ...], span: i
             met = met & (F.col(f"__c{i}") >= us - span * 1_000_000)
     return (
         rows.where(F.col("__own") & F.coalesce(met, F.lit(False)))
-        .select(*group, "__us", F.lit(len(rules)).cast("bigint").alias("n"))
-        .dropDuplicates([*group, "__us"])
+        .select(*group, "__slot", "__us", F.lit(len(rules)).cast("bigint").alias("n"))
+        .dropDuplicates([*group, "__slot", "__us"])  # partitioned so already
+        .drop("__slot")
     )

@@ -44,11 +44,11 @@ def asof_join(
     for column in ("__t", *by):  # NULL keys and times match nothing
         rights = rights.where(F.col(column).isNotNull())
 
+    merged = lefts.unionByName(rights)
     # Within a slice: running last right row.
     inside = Window.partitionBy(*key).orderBy("__t", "__order", "__right")
     rows = (
-        lefts.unionByName(rights)
-        .withColumn(
+        merged.withColumn(
             "__near",
             F.last("__right", ignorenulls=True).over(
                 inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,12 +57,9 @@ def asof_join(
         .where("__left IS NOT NULL")
     )
     # Over slices: the last right row of each earlier slice, one row per key and slice.
-    closing = rights.groupBy(*key).agg(F.max("__right").alias("__close"))
-    opened = closing.unionByName(
-        lefts.select(*key).distinct().withColumn("__close", F.lit(None).cast(_right_type(right, on, take)))
-    ).groupBy(*key).agg(F.max("__close").alias("__close"))
+    closing = merged.groupBy(*key).agg(F.max("__right").alias("__close"))
     across = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    opening = opened.select(*key, F.last("__close", ignorenulls=True).over(across).alias("__before"))
+    opening = closing.select(*key, F.last("__close", ignorenulls=True).over(across).alias("__before"))
 
     found = F.coalesce("__near", "__before")
     return rows.join(opening, key, "left").select(
