@@ -70,3 +70,25 @@ def wire_value(wire: Column, members: dict[str, str]) -> Column:
         raise ValueError(f"unknown wire kinds {sorted(unknown)}")
     options = [convert[name](wire[column]) for name, column in members.items()]
     return F.coalesce(*options, F.parse_json(F.lit("null")))
+
+
+def wire_of(value: Column) -> Column:
+    """The one-of struct of a JSON value, inverse to `wire_value`.
+
+    Text becomes bytes; integers of 64 bits stay integers, other numbers become floats; objects and
+    arrays keep their members as VARIANT, to be converted in turn where a consumer opens them.
+    """
+    k = kind(value)
+    number = k.isin("DOUBLE", "FLOAT") | k.startswith("DECIMAL")
+
+    def read(to: str) -> Column:
+        return F.try_variant_get(value, "$", to)
+
+    return F.struct(
+        F.when(k == "STRING", read("string").cast("binary")).alias("raw_bytes"),
+        F.when(k == "BOOLEAN", read("boolean")).alias("boolean"),
+        F.when(k == "BIGINT", read("bigint")).alias("integer"),
+        F.when(number, read("double")).alias("float"),
+        read("map<string,variant>").alias("map"),
+        read("array<variant>").alias("array"),
+    )

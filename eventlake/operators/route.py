@@ -95,13 +95,12 @@ def store(
     schemas: dict[int, T.StructType] | None = None,
     batch_id: int | None = None,
     staging: str | None = None,
-    persist: bool = True,
 ) -> dict[int, int]:
     """Coerce and write all events; returns the stored rows per class.
 
     A large batch job passes `staging`, a folder all executors share: routed rows are written there
     once, partitioned by class, and each class then reads only its own part. Without it the routed
-    rows are persisted (unless the caller persisted the events), which suits a stream's batches.
+    rows are persisted, which suits the bounded batches of a stream.
     """
     spark = events.sparkSession
     schemas = CLASS_SCHEMAS if schemas is None else schemas
@@ -117,8 +116,7 @@ def store(
         parts = routed
         usable = F.col("part").isNotNull()
     else:
-        if persist:
-            routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
         parts = routed.withColumn("part", F.col("class_uid"))
         usable = F.col("reject_reason").isNull()
     try:
@@ -151,7 +149,7 @@ def store(
             _write_quarantine(quarantine_rows(unusable), quarantine, "unrouted", batch_id)
         return stored
     finally:
-        if persist and not staging:
+        if not staging:
             routed.unpersist()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.functions.variants import get, json_or_text, kind, strict_string, wire_value
+from eventlake.functions.variants import get, json_or_text, kind, strict_string, wire_of, wire_value
 from eventlake.operators.envelope import (
     from_json_values,
     from_matcher_event,
@@ -213,6 +213,30 @@ def wire_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "wire_roundtrip",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'bytes ' || event_type WHEN 1 THEN 'integer ' || CAST(event_id AS VARCHAR)
+        WHEN 2 THEN 'float 1.5' WHEN 3 THEN 'map' ELSE 'boolean true' END AS wire, true AS same FROM events""",
+)
+def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values to wire kinds and back."""
+    text = F.expr(
+        """CASE event_id % 5 WHEN 0 THEN '"' || event_type || '"' WHEN 1 THEN CAST(event_id AS STRING) WHEN 2 THEN '1.5'
+           WHEN 3 THEN props ELSE 'true' END"""
+    )
+    df = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+    df = df.withColumn("w", wire_of(F.col("v")))
+    shown = F.coalesce(
+        F.concat(F.lit("bytes "), F.col("w.raw_bytes").cast("string")),
+        F.concat(F.lit("integer "), F.col("w.integer").cast("string")),
+        F.concat(F.lit("float "), F.col("w.float").cast("string")),
+        F.concat(F.lit("boolean "), F.col("w.boolean").cast("string")),
+        F.when(F.col("w.map").isNotNull(), "map"),
+    )
+    back = wire_value(F.col("w"), {n: n for n in ("raw_bytes", "boolean", "integer", "float", "map", "array")})
+    return df.select("event_id", shown.alias("wire"), (F.to_json(back) == F.to_json("v")).alias("same"))
+
+
 @query(
     "unnest_records",
     """SELECT event_type AS name, pos, count(*) AS n, CAST(sum(user_id + pos) AS BIGINT) AS total FROM (

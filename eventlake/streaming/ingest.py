@@ -52,7 +52,7 @@ def process_batch(
         events = accepted(landed)
         if normalise:
             events = events.transform(normalise)
-        store(events, base, quarantine, batch_id=batch_id, persist=False)
+        store(events, base, quarantine, batch_id=batch_id)
         findings = detect(events, rules(), keep_metadata=True)  # rules are read anew for each batch
         store_findings(findings.drop("event_metadata"), base, batch_id)
         if sink:
