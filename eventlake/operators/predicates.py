@@ -453,18 +453,47 @@ def rule_test(fields: Fields, rule: Rule) -> str:
         raise RuleError(f"rule {rule.id}: {exc}") from exc
 
 
+def _plain_fields(body: Any) -> dict[str, list[str]]:
+    """The entries of a selection that are plain equalities: field to lower-cased texts."""
+    found = {}
+    for key, value in sorted(body.items()) if isinstance(body, dict) else ():
+        texts = [plain_text(v) for v in (value if isinstance(value, list) else [value])]
+        if key and "|" not in key and texts and None not in texts:
+            found[key] = list(dict.fromkeys(t.lower() for t in texts))
+    return found
+
+
+def required_equalities(rule: Rule) -> list[tuple[str, tuple[str, ...]]]:
+    """Plain equalities without which the rule cannot match: (field, texts).
+
+    They stand in selections that the condition joins by `and` at its top level.
+    """
+    condition = rule.detection["condition"]
+    if not isinstance(condition, str):
+        return []
+    flat, again = re.subn(r"\([^()]*\)", "GROUP", condition)
+    while again:
+        flat, again = re.subn(r"\([^()]*\)", "GROUP", flat)
+    if re.search(r"(?i)\bor\b", flat):
+        return []
+    names = [part.strip() for part in re.split(r"(?i)\band\b", flat)]
+    bodies = [rule.detection[n] for n in names if n in rule.detection and n != "condition"]
+    return [(f, tuple(texts)) for body in bodies for f, texts in _plain_fields(body).items()]
+
+
 def equality_choices(rule: Rule, limit: int = 1000) -> dict[str, list[str]] | None:
     """Per field the texts it may equal, for a rule that is just that; None for any other rule.
 
     Rules with more than `limit` combinations are left to the predicate form.
     """
     body = rule.detection.get(str(rule.detection["condition"]).strip())
-    if not isinstance(body, dict) or not body:
+    choices = _plain_fields(body)
+    if not choices or len(choices) != len(body):
         return None
-    choices: dict[str, list[str]] = {}
-    for key, value in sorted(body.items()):
-        texts = [plain_text(v) for v in (value if isinstance(value, list) else [value])]
-        if not key or "|" in key or None in texts or not texts:
-            return None
-        choices[key] = list(dict.fromkeys(t.lower() for t in texts))
     return choices if math.prod(map(len, choices.values())) <= limit else None
+
+
+def equals_any(fields: Fields, name: str, texts: tuple[str, ...]) -> str:
+    """Predicate: the field (or an element of it) is one of the lower-cased texts."""
+    known = ", ".join(sql_text(t) for t in texts)
+    return f"coalesce({fields.test(name, lambda t: f'{t} IN ({known})')}, false)"

@@ -4,7 +4,13 @@ import random
 import pytest
 
 from eventlake.operators.detect import check_regexes, detect, match_rules, prepare_events, prepare_table
-from eventlake.operators.predicates import _encoded, _with_dashes, equality_choices, split_wildcards
+from eventlake.operators.predicates import (
+    _encoded,
+    _with_dashes,
+    equality_choices,
+    required_equalities,
+    split_wildcards,
+)
 from eventlake.operators.rules import (
     RuleError,
     get_rule,
@@ -275,3 +281,37 @@ def test_many_logsource_groups(events):
     hits = sorted((h.event_id, h.rule_id) for h in match_rules(prepare_events(df), rules).collect())
     expected = [("0", f"{p}-{i}") for p in ("None", "a") for i in range(3)] + [("1", f"None-{i}") for i in range(4)]
     assert hits == sorted(expected)
+
+
+def test_required_equalities():
+    req = lambda condition, **sel: required_equalities(rule(condition, **sel))
+    a, b = {"f": "X", "g|contains": "y"}, {"h": [1, 2]}
+    assert req("a", a=a) == [("f", ("x",))]
+    assert req("a and not b", a=a, b=b) == [("f", ("x",))]
+    assert req("(a or b) and b", a=a, b=b) == [("h", ("1", "2"))]
+    assert req("b and not ((a) or b)", a=a, b=b) == [("h", ("1", "2"))]
+    assert req("a or b", a=a, b=b) == []
+    assert req("not a", a=a) == []
+    assert req("all of a*", a=a) == []
+    assert req("a", a=[a, b]) == []
+    assert req("a", a={"f": ["x", "y*"]}) == []
+
+
+def test_shared_equalities_change_nothing(events):
+    """Rules behind a shared test hit the same events as each rule on its own."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(120):
+        kind = rng.choice(['"a"', '"B"', '["c","a"]', "1", "null"])
+        rows.append('{"kind":%s,"n":%d}' % (kind, rng.randrange(20)))
+    rules = []
+    for i in range(40):
+        sel = {"kind": rng.choice(["a", "b", ["a", "c"], 1]), "n|gte": rng.randrange(20)}
+        condition = rng.choice(["sel", "sel and not low", "sel or low", "not sel and low"])
+        rules.append(rule(condition, rule_id=f"r{i}", sel=sel, low={"n|lt": 5}))
+    prepared = lambda: prepare_events(events(*rows))
+    together = sorted((h.event_id, h.rule_id) for h in match_rules(prepared(), rules).collect())
+    alone = []
+    for start in range(0, len(rules), 3):  # too few to share a test
+        alone += [(h.event_id, h.rule_id) for h in match_rules(prepared(), rules[start : start + 3]).collect()]
+    assert together == sorted(alone) and len(together) > 200
