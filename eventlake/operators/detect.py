@@ -40,6 +40,7 @@ SEPARATOR = "\u0001"  # of rule ids within a text
 JOIN_FROM = 100
 # Rules that share a required equality are put behind one test of it, from this many on.
 SHARED_FROM = 4
+RULES_PER_COLUMN = 100
 # The term table is broadcast up to this many rows; beyond, Spark picks the join by size.
 MAX_BROADCAST_TERMS = 200_000
 
@@ -149,10 +150,10 @@ def match_rules(
     # The ids of a logsource's matching rules, as one text: NULLs cost nothing there, whereas an
     # array would have to be filtered element by element.
     matched = {}
-    for i, (logsource, members) in enumerate(groups.items()):
+    for logsource, members in groups.items():
         guard = prepared.guard(logsource)
-        ids = _matching_ids(fields, members)
-        matched[f"__h{i}"] = f"CASE WHEN {guard} THEN {ids} END" if guard else ids
+        for ids in _matching_ids(fields, members):
+            matched[f"__h{len(matched)}"] = f"CASE WHEN {guard} THEN {ids} END" if guard else ids
 
     terms, signatures = _term_rows(lookup)
     check_regexes(df.sparkSession, fields.regexes)
@@ -203,26 +204,29 @@ def match_rules(
     return hits
 
 
-def _matching_ids(fields: Fields, rules: list[Rule]) -> str:
-    """SQL text of the ids of the matching rules, joined by SEPARATOR.
+def _matching_ids(fields: Fields, rules: list[Rule]) -> list[str]:
+    """SQL texts that give the ids of the matching rules, joined by SEPARATOR.
 
     Rules that require the same plain equality (a kind of event, say) share one test of it: an event
-    meets only the rules of its own kind.
+    meets only the rules of its own kind. A text holds few rules, so that its code stays small enough
+    for the JVM to compile.
     """
     required = {r.id: required_equalities(r) for r in rules}
     shared = Counter(e for equalities in required.values() for e in set(equalities))
-    guarded: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    items = []
+    guarded: dict[tuple[str, tuple[str, ...]] | None, list[str]] = {}
     for rule in rules:
         text = f"CASE WHEN {rule_test(fields, rule)} THEN {sql_text(rule.id)} END"
         best = max(required[rule.id], key=lambda e: (shared[e], e), default=None)
-        if best and shared[best] >= SHARED_FROM:
-            guarded.setdefault(best, []).append(text)
-        else:
-            items.append(text)
-    for (name, texts), members in guarded.items():
-        items.append(f"CASE WHEN {equals_any(fields, name, texts)} THEN {_joined(members)} END")
-    return _joined(items)
+        if best and shared[best] < SHARED_FROM:
+            best = None
+        guarded.setdefault(best, []).append(text)
+    out = []
+    for equality, texts in guarded.items():
+        test = equals_any(fields, *equality) if equality else None
+        for start in range(0, len(texts), RULES_PER_COLUMN):
+            ids = _joined(texts[start : start + RULES_PER_COLUMN])
+            out.append(f"CASE WHEN {test} THEN {ids} END" if test else ids)
+    return out
 
 
 def _joined(texts: list[str]) -> str:
