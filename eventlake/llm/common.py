@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlake.session import scratch_dir
@@ -14,15 +16,30 @@ BROADCAST_ROWS = 200_000
 
 
 def settings(spark: SparkSession) -> SparkSession:
-    """Arrow batches of bounded size, and splitting of skewed joins also on small partitions."""
+    """Arrow batches of bounded size, splitting of skewed joins, and this package on the workers' path."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each Spark context, as `--py-files` would."""
+    context = spark.sparkContext
+    if getattr(context, "_eventlake_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="eventlake-code-")) / "eventlake.zip"  # served by the driver
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._eventlake_sent = True
+
+
 def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
     path = scratch_dir(df.sparkSession, label)
@@ -78,11 +95,3 @@ def ranked(df: DataFrame, order: list[str], by: list[str], name: str, label: str
         *[F.col(f"l.`{c}`") for c in df.columns],
         (F.col("l.__row") + F.coalesce(F.col("r.__before"), F.lit(0))).cast("long").alias(name),
     )
-
-
-def bool_sum(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0))
-
-
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)

@@ -49,3 +49,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chat_format", CHAT_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
+
+
+from eventlake.llm.neardup import NEAR_SQL, near_duplicates  # noqa: E402
+from eventlake.llm.ngram import lm_scores  # noqa: E402
+from eventlake.llm.quality import quality_scores  # noqa: E402
+from eventlake.llm.secretscan import secrets  # noqa: E402
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_near_duplicates", NEAR_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
