@@ -1,10 +1,13 @@
-"""A training corpus from `documents`: quality, near-duplicates, benchmark passages, mix, token files."""
+"""A training corpus from `documents`: quality, near-duplicates, benchmark quotes, mix, token files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlake.llm.decontam import without_leaks
 from eventlake.llm.mixing import mix
+from eventlake.llm.neardup import without_near_duplicates
+from eventlake.llm.quality import keep_good
 from eventlake.llm.queries import table, tokenizer_path
 from eventlake.llm.tokens import token_files
 from eventlake.session import scratch_dir
@@ -12,6 +15,18 @@ from eventlake.session import scratch_dir
 ORACLE_SQL = None  # the stages learn a classifier and apply a tokenizer; tests hold them against brute force
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_duplicates(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
@@ -21,6 +36,9 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("near-duplicates", distinct),
+    ("benchmark decontamination", clean),
     ("mixing sources", mixed),
     ("token files", tokenised),
 ]

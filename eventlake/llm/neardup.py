@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import forget, select_only, settings, stored
+from eventlake.llm.common import forget, maybe_broadcast, select_only, settings, stored
 from eventlake.llm.components import components
 from eventlake.llm.words import BASE, column_words, mix
 
@@ -233,6 +233,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns; rows without an id always stay."""
+    dropped = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").where("doc_id IS NOT NULL").distinct()
+    dropped = stored(dropped, "near-dropped")
+    return docs.join(maybe_broadcast(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _full_sets(pairs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
     """Full shingle sets of those that occur in a pair, from one text each."""
     paired = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()

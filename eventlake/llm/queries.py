@@ -6,6 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlake.llm.chat import CHAT_SQL, render_chats
+from eventlake.llm.decontam import leaks
+from eventlake.llm.linededup import dedup_lines
+from eventlake.llm.mixing import MIX_SQL, mix_report
+from eventlake.llm.neardup import NEAR_SQL, near_duplicates
+from eventlake.llm.ngram import lm_scores
+from eventlake.llm.quality import quality_scores
+from eventlake.llm.secretscan import secrets
+from eventlake.llm.tokens import token_files
+from eventlake.llm.topk import TOP_SQL, top_k
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,9 +42,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-from eventlake.llm.chat import CHAT_SQL, render_chats  # noqa: E402
-from eventlake.llm.mixing import MIX_SQL, mix_report  # noqa: E402
-from eventlake.llm.tokens import token_files  # noqa: E402
+@query("op1_exact_top_k", TOP_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op3_token_files")
@@ -46,27 +62,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-@query("op8_chat_format", CHAT_SQL)
-def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_chats(table(spark, sf_dir, "conversations"))
-
-
-from eventlake.llm.neardup import NEAR_SQL, near_duplicates  # noqa: E402
-from eventlake.llm.ngram import lm_scores  # noqa: E402
-from eventlake.llm.quality import quality_scores  # noqa: E402
-from eventlake.llm.secretscan import secrets  # noqa: E402
-
-
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+@query("op6_benchmark_leaks")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_lm_score")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query("op8_chat_format", CHAT_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_chats(table(spark, sf_dir, "conversations"))
+
+
 @query("op9_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
