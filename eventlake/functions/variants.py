@@ -92,3 +92,19 @@ def wire_of(value: Column) -> Column:
         read("map<string,variant>").alias("map"),
         read("array<variant>").alias("array"),
     )
+
+
+# Timestamps hold microseconds in 64 bits.
+MAX_MILLIS = 9_223_372_036_854_775
+
+
+def epoch_time(value: Column, kind_of_value: Column) -> Column:
+    """Timestamp of epoch milliseconds, as a JSON integer or as digits; NULL for anything else.
+
+    Total on any event: integers beyond the range of timestamps give NULL.
+    """
+    digits = F.regexp_extract(F.try_variant_get(value, "$", "string"), "^[+-]?[0-9]+$", 0)
+    millis = F.when(kind_of_value == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
+        kind_of_value == "STRING", digits.try_cast("bigint")
+    )
+    return F.timestamp_millis(F.when(millis.between(-MAX_MILLIS, MAX_MILLIS), millis))

@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlake.functions.variants import is_object, json_path, kind
-
-_MAX_MILLIS = 9_223_372_036_854_775  # timestamps hold microseconds in 64 bits
+from eventlake.functions.variants import epoch_time, is_object, json_path, kind
 
 
 class _Members:
@@ -59,11 +57,7 @@ def _scalar(v: Column, k: Column, dtype: T.DataType) -> Column | None:
         none = F.lit(None).cast("string")
         return F.when(k == "STRING", read("string")).when(k == "VOID", none).otherwise(F.to_json(v))
     if isinstance(dtype, T.TimestampType):
-        digits = F.regexp_extract(read("string"), "^[+-]?[0-9]+$", 0)
-        millis = F.when(k == "BIGINT", read("bigint")).when(
-            k == "STRING", digits.try_cast("bigint")
-        )
-        return F.timestamp_millis(F.when(F.abs(millis) <= _MAX_MILLIS, millis))
+        return epoch_time(v, k)
     return None
 
 

@@ -9,12 +9,13 @@ merged before the shuffle, so a group holding most of the data still spreads ove
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.operators.rules import RuleError
+from eventlake.operators.rules import RuleError, load_documents
 
 # Units of a timespan, in seconds.
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
@@ -69,6 +70,11 @@ def correlation_from_dict(doc: dict) -> Correlation:
     )
 
 
+def load_correlations(paths: str | Iterable[str]) -> list[Correlation]:
+    """The correlation documents of one or more folders of rule files."""
+    return [correlation_from_dict(doc) for _, doc in load_documents(paths) if isinstance(doc, dict) and "correlation" in doc]
+
+
 def _meets(value: Column, condition: tuple[tuple[str, float], ...]) -> Column:
     ok = F.lit(True)
     for name, bound in condition:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlake.functions.variants import get, kind, strict_string, variant_of
+from eventlake.functions.variants import epoch_time, get, kind, strict_string, variant_of
 from eventlake.model import FINDING_CLASS_UID, PRODUCT_NAME
 from eventlake.operators.envelope import logsource_of, with_entries
 from eventlake.operators.normalise import detection_body
@@ -83,12 +83,48 @@ def prepare_table(df: DataFrame, **logsource: str | None) -> Prepared:
 
 
 def check_regexes(spark: SparkSession, patterns: Iterable[str]) -> None:
-    """Fail early on patterns the regex engine refuses."""
-    for pattern in sorted(set(patterns)):
+    """Fail early on patterns the regex engine refuses. One projection tries them all."""
+
+    def compiles(some: list[str]) -> bool:
+        try:
+            spark.range(1).selectExpr(*[f"'' RLIKE {sql_text(p)}" for p in some]).collect()
+            return True
+        except Exception:
+            return False
+
+    todo = sorted(set(patterns))
+    if todo and not compiles(todo):
+        bad = next(p for p in todo if not compiles([p]))
+        raise RuleError(f"bad pattern {bad!r}")
+
+
+def usable_rules(events: DataFrame, rules: Iterable[Rule]) -> tuple[list[Rule], dict[str, str]]:
+    """(rules that compile for `events`, reasons by id of those that don't).
+
+    Each rule is compiled once; the patterns of all rules are tried in one projection, and one by one
+    only when that fails.
+    """
+    good, refused, patterns = [], {}, {}
+    for rule in rules:
+        fields = prepare_events(events).fields
         try:
-            spark.sql(f"SELECT '' RLIKE {sql_text(pattern)}").collect()
-        except Exception as exc:
-            raise RuleError(f"bad pattern {pattern!r}") from exc
+            rule_test(fields, rule)
+        except RuleError as exc:
+            refused[rule.id] = str(exc)
+            continue
+        patterns[rule.id] = set(fields.regexes)
+        good.append(rule)
+    try:
+        check_regexes(events.sparkSession, set().union(*patterns.values()) if patterns else ())
+        return good, refused
+    except RuleError:
+        for rule in list(good):
+            try:
+                check_regexes(events.sparkSession, patterns[rule.id])
+            except RuleError as exc:
+                good.remove(rule)
+                refused[rule.id] = str(exc)
+        return good, refused
 
 
 TERM_SCHEMA = "__sig string, __key array<string>, __earlier array<array<string>>, __rule string"
@@ -242,12 +278,11 @@ def correlation_uid(data: Column, event_id: Column) -> Column:
 
 
 def event_time(data: Column, metadata: Column) -> Column:
-    """Time of an event: epoch milliseconds in `data.time`, else the ingest time."""
+    """Time of an event: that of `data.time` as the stored event has it, else the collector's ingest
+    time, else now. Never NULL, so every finding lies in some time range."""
     time = get(data, "time")
-    millis = F.when(kind(time) == "BIGINT", F.try_variant_get(time, "$", "bigint"))
-    in_range = F.when(F.abs(millis) < 9_000_000_000_000_000, F.timestamp_millis(millis))
     stamp = strict_string(F.try_element_at(metadata, F.lit("timestamp")))
-    return F.coalesce(in_range, F.try_to_timestamp(stamp))
+    return F.coalesce(epoch_time(time, kind(time)), F.try_to_timestamp(stamp), F.current_timestamp())
 
 
 RULE_DIM = T.StructType(

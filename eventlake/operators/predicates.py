@@ -28,12 +28,15 @@ DASHES = ("-", "/", "–", "—", "―")
 # by the offset of the text within a three-byte group.
 BASE64_TRIM = {0: (0, (0, 3, 2)), 1: (2, (0, 3, 2)), 2: (3, (0, 3, 2))}
 
+# Modifiers of the public rule format.
 MODIFIERS = {
     "contains", "startswith", "endswith", "all", "re", "i", "m", "s", "cased", "cidr",
     "lt", "lte", "gt", "gte", "exists", "fieldref",
     "base64", "base64offset", "wide", "utf16le", "utf16be", "utf16", "windash",
 }
 COMPARE = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
+# A plain decimal number: the cast alone also takes NaN, Infinity and Java's type suffixes.
+NUMBER_TEXT = r"r'^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$'"
 KEYWORD_LEAVES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+":|"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
@@ -90,11 +93,13 @@ class Fields:
         items = self.elements(name)
         if items is None:
             return predicate(self.number(name))
-        each = f"exists({items}, x -> {predicate('try_cast(x AS DOUBLE)')})"
+        one = f"CASE WHEN x RLIKE {NUMBER_TEXT} THEN try_cast(x AS DOUBLE) END"
+        each = f"exists({items}, x -> {predicate(one)})"
         return f"if({items} IS NULL, {predicate(self.number(name))}, {each})"
 
     def number_sql(self, name: str) -> str:
-        return f"try_cast({self.text_sql(name)} AS DOUBLE)"
+        text = self.text_sql(name)
+        return f"CASE WHEN {text} RLIKE {NUMBER_TEXT} THEN try_cast({text} AS DOUBLE) END"
 
     # Supplied by the kind of table.
     def text_sql(self, name: str) -> str:
@@ -178,7 +183,7 @@ class TableFields(Fields):
     def number_sql(self, name: str) -> str:
         column, dtype = self._find(name)
         if isinstance(dtype, T.NumericType):
-            return f"CAST({column} AS DOUBLE)"
+            return f"nullif(CAST({column} AS DOUBLE), double('NaN'))"
         return super().number_sql(name)
 
     def present_sql(self, name: str) -> str:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlake.functions.variants import get, kind
-from eventlake.model import CLASS_SCHEMAS, CLASSES, FINDING_CLASS_UID, class_dimension, class_path
+from eventlake.model import CLASS_SCHEMAS, CLASSES, FINDING_CLASS_UID, FINDING_SCHEMA, class_dimension, class_path
 from eventlake.operators.coerce import accepted_rows, coerce
-from eventlake.session import scratch_dir
+from eventlake.session import remove_dir, scratch_dir
 
 # Writer settings: v2 pages and Snappy; a Bloom filter on the id that alerts are looked up by.
 WRITE_OPTIONS = {"compression": "snappy", "parquet.writer.version": "v2"}
@@ -24,6 +24,8 @@ FINDING_WRITE_OPTIONS = {
     "parquet.bloom.filter.expected.ndv#metadata.uid": "1000000",
 }
 JOBS_AT_ONCE = 8
+# Folder, below the class, of findings that arrive as events.
+INCOMING = "incoming"
 # Annotations kept with every stored column set.
 CREATED_BY = "eventlake"
 
@@ -49,8 +51,8 @@ def route(events: DataFrame, schemas: dict[int, T.StructType] | None = None) ->
     )
 
 
-def _target(base: str, class_uid: int, batch_id: int | None) -> str:
-    path = f"{base}/{class_path(class_uid)}"
+def _target(base: str, class_uid: int, batch_id: int | None, part: str | None = None) -> str:
+    path = f"{base}/{class_path(class_uid)}" + (f"/{part}" if part else "")
     return path if batch_id is None else f"{path}/batch_id={batch_id}"
 
 
@@ -60,7 +62,7 @@ def describe(df: DataFrame, class_uid: int) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata={"comment": note}) for c in df.columns])
 
 
-def write_class(df: DataFrame, base: str, class_uid: int, batch_id: int | None = None) -> None:
+def write_class(df: DataFrame, base: str, class_uid: int, batch_id: int | None = None, part: str | None = None) -> None:
     """Write coerced rows of one class. Sorted by time within each file, so time ranges skip row groups.
 
     A batch writes its own folder by overwrite, so that a replay replaces its output.
@@ -69,7 +71,7 @@ def write_class(df: DataFrame, base: str, class_uid: int, batch_id: int | None =
     if class_uid == FINDING_CLASS_UID:
         writer = writer.options(**FINDING_WRITE_OPTIONS)
     mode = "append" if batch_id is None else "overwrite"
-    writer.mode(mode).parquet(_target(base, class_uid, batch_id))
+    writer.mode(mode).parquet(_target(base, class_uid, batch_id, part))
 
 
 def quarantine_rows(df: DataFrame, class_uid: Column | None = None) -> DataFrame:
@@ -103,7 +105,7 @@ def store(
     rows are persisted, which suits the bounded batches of a stream.
     """
     spark = events.sparkSession
-    schemas = CLASS_SCHEMAS if schemas is None else schemas
+    schemas = {FINDING_CLASS_UID: FINDING_SCHEMA} | (CLASS_SCHEMAS if schemas is None else schemas)
     routed = route(events, schemas).select("event_id", "data", "class_uid", "reject_reason")
     if staging:
         (
@@ -124,14 +126,12 @@ def store(
 
         def store_class(uid: int, count: int) -> int:
             mine = parts.where(usable & (F.col("part") == uid))
-            if uid not in schemas:  # findings arrive typed, through store_findings
-                aside = mine.withColumn("reject_reason", F.lit("written by detection only"))
-                _write_quarantine(quarantine_rows(aside), quarantine, str(uid), batch_id)
-                return 0
             coerced = coerce(mine.drop("reject_reason"), schemas[uid])
             seen = Observation()
             counted = coerced.observe(seen, F.count("reject_reason").alias("rejected"))
-            write_class(accepted_rows(counted), base, uid, batch_id)
+            # Findings from outside lie beside those of `store_findings`, which replaces its own folder.
+            part = INCOMING if uid == FINDING_CLASS_UID else None
+            write_class(accepted_rows(counted), base, uid, batch_id, part)
             rejected = seen.get["rejected"]
             if rejected:
                 bad = coerced.where("reject_reason IS NOT NULL")
@@ -154,15 +154,22 @@ def store(
 
 
 def store_findings(findings: DataFrame, base: str, batch_id: int | None = None) -> None:
-    """Write findings to their class. In a batch folder an empty result still replaces an earlier one."""
-    if batch_id is None and findings.isEmpty():
+    """Write findings to their class. An empty result leaves no folder, also none of an earlier attempt."""
+    if findings.isEmpty():
+        if batch_id is not None:  # nothing is written, but an earlier attempt's folder goes
+            remove_dir(findings.sparkSession, _target(base, FINDING_CLASS_UID, batch_id))
         return
     write_class(findings, base, FINDING_CLASS_UID, batch_id)
 
 
 def store_batch(events: DataFrame, base: str, quarantine: str, **options) -> dict[int, int]:
-    """`store` for a whole table, staged in the session's shared folder."""
-    return store(events, base, quarantine, staging=scratch_dir(events.sparkSession, "stage"), **options)
+    """`store` for a whole table, staged in the session's shared folder. The staged copy is deleted afterwards."""
+    spark = events.sparkSession
+    staging = scratch_dir(spark, "stage")
+    try:
+        return store(events, base, quarantine, staging=staging, **options)
+    finally:
+        remove_dir(spark, staging)
 
 
 def export(df: DataFrame, scope: str = "all") -> DataFrame:

@@ -8,7 +8,7 @@ import os
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 try:
@@ -72,18 +72,26 @@ def rule_from_dict(doc: dict) -> Rule:
     )
 
 
-def rule_from_text(text: str) -> Rule:
+def documents_of(text: str) -> list:
+    """The documents of a rule file."""
     try:
-        doc = yaml.safe_load(text) if yaml else json.loads(text)
+        return [d for d in yaml.safe_load_all(text) if d is not None] if yaml else [json.loads(text)]
     except Exception as exc:
         raise RuleError(f"unreadable rule: {exc}") from exc
-    return rule_from_dict(doc)
 
 
-def load_rules(paths: str | Iterable[str]) -> list[Rule]:
-    """Rules of one or more folders, recursively. Any unreadable rule or repeated id is an error."""
+def rule_from_text(text: str) -> Rule:
+    """The rule of a file with one document."""
+    docs = documents_of(text)
+    if len(docs) != 1:
+        raise RuleError(f"{len(docs)} documents where one rule was expected")
+    return rule_from_dict(docs[0])
+
+
+def load_documents(paths: str | Iterable[str]) -> list[tuple[str, dict]]:
+    """(file, document) of all rule files of one or more folders, recursively."""
     suffixes = (".yaml", ".yml", ".json") if yaml else (".json",)
-    rules: dict[str, Rule] = {}
+    found = []
     for root in [paths] if isinstance(paths, str) else paths:
         if not os.path.isdir(root):
             raise RuleError(f"no such folder: {root}")
@@ -95,10 +103,23 @@ def load_rules(paths: str | Iterable[str]) -> list[Rule]:
         )
         for path in files:
             with open(path, encoding="utf-8") as handle:
-                rule = rule_from_text(handle.read())
-            if rule.id in rules:
-                raise RuleError(f"rule id {rule.id} is used twice ({path})")
-            rules[rule.id] = rule
+                found += [(path, doc) for doc in documents_of(handle.read())]
+    return found
+
+
+def load_rules(paths: str | Iterable[str]) -> list[Rule]:
+    """Rules of one or more folders, recursively; correlation documents are left to `load_correlations`.
+
+    Any unreadable rule or repeated id is an error.
+    """
+    rules: dict[str, Rule] = {}
+    for path, doc in load_documents(paths):
+        if isinstance(doc, dict) and "correlation" in doc:
+            continue
+        rule = rule_from_dict(doc)
+        if rule.id in rules:
+            raise RuleError(f"rule id {rule.id} is used twice ({path})")
+        rules[rule.id] = rule
     return list(rules.values())
 
 
@@ -149,10 +170,20 @@ def rules_of_table(table: DataFrame) -> list[Rule]:
 
 
 def merge_rules(table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table with the new rules, conflicts): a rule whose id exists is refused."""
-    conflicts = new.join(table.select("id"), "id", "left_semi").select(*new.columns)
-    fresh = new.join(table.select("id"), "id", "left_anti").select(*new.columns)
-    return table.unionByName(fresh), conflicts
+    """(table with the new rules, conflicts): a rule whose id exists is refused.
+
+    Of several new rules with one id the first by all columns is taken, the others are conflicts; so
+    is a rule without an id.
+    """
+    order = Window.partitionBy("id").orderBy(*new.columns)
+    numbered = new.withColumn("__nth", F.row_number().over(order)).join(
+        table.select("id", F.lit(True).alias("__known")), "id", "left"
+    )
+    fresh = F.coalesce(F.col("__nth") == 1, F.lit(False)) & F.col("__known").isNull() & F.col("id").isNotNull()
+    return (
+        table.unionByName(numbered.where(fresh).select(*new.columns)),
+        numbered.where(~fresh).select(*new.columns),
+    )
 
 
 def switch_rules(table: DataFrame, rule_ids: list[str], enabled: bool) -> DataFrame:

@@ -14,9 +14,6 @@ PAGE = 10  # rows of an alert list
 # Severities from most to least urgent; all others rank last.
 SEVERITY_RANKS = [("critical", 0), ("high", 1), ("medium", 2), ("low", 3), ("info", 4), ("informational", 4)]
 
-# Requests are user actions, so few; beyond this many rows no broadcast hint.
-MAX_BROADCAST_REQUESTS = 100_000
-
 
 def parse_time(text: str | None, default: datetime) -> datetime:
     """RFC 3339 time; missing or unparsable text gives the default."""
@@ -33,9 +30,12 @@ def get_alerts(
     end: str | None = None,
     *,
     file: Column | None = None,
-    limit: int = PAGE,
+    limit: int | None = PAGE,
 ) -> DataFrame:
-    """Newest findings with start <= time <= end, by default of the last 24 hours."""
+    """Newest findings with start <= time <= end, by default of the last 24 hours.
+
+    With ``limit=None`` all of them, in no order: a sort of the whole range helps nobody who pages.
+    """
     now = datetime.now(timezone.utc)
     first = parse_time(start, now - timedelta(hours=24))
     last = parse_time(end, now)
@@ -49,12 +49,8 @@ def get_alerts(
     ]
     if file is not None:
         columns.append(file.alias("file"))
-    return (
-        findings.where(F.col("time").between(F.lit(first), F.lit(last)))
-        .select(*columns)
-        .orderBy(F.desc("time"), "uid", "finding_uid")
-        .limit(limit)
-    )
+    found = findings.where(F.col("time").between(F.lit(first), F.lit(last))).select(*columns)
+    return found if limit is None else found.orderBy(F.desc("time"), "uid", "finding_uid").limit(limit)
 
 
 def fetch_alert(findings: DataFrame, uid: str) -> DataFrame:
@@ -97,14 +93,16 @@ def count_by_severity(findings: DataFrame) -> DataFrame:
     )
 
 
-def recent_events(events: DataFrame, hours: int = 24, limit: int = 100) -> DataFrame:
-    """Some events of the last hours, newest first."""
-    since = F.current_timestamp() - F.expr(f"INTERVAL {int(hours)} HOURS")
-    return events.where(F.col("time") > since).orderBy(F.desc("time")).limit(limit)
+def recent_events(events: DataFrame, hours: int = 24, limit: int = 100, *, now: datetime | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Some events of the hours before `now`, newest first; `then` names columns that order equal times."""
+    until = F.current_timestamp() if now is None else F.lit(now)
+    since = until - F.expr(f"INTERVAL {int(hours)} HOURS")
+    return events.where(F.col("time") > since).orderBy(F.desc("time"), *then).limit(limit)
 
 
-def of_class(events: DataFrame, class_uid: int, limit: int = PAGE) -> DataFrame:
-    return events.where(F.col("class_uid") == class_uid).limit(limit)
+def of_class(events: DataFrame, class_uid: int, limit: int = PAGE, *, then: tuple[str, ...] = ()) -> DataFrame:
+    """The newest events of a class."""
+    return events.where(F.col("class_uid") == class_uid).orderBy(F.desc("time"), *then).limit(limit)
 
 
 def action_payloads(requests: DataFrame, findings: DataFrame) -> DataFrame:
@@ -114,11 +112,10 @@ def action_payloads(requests: DataFrame, findings: DataFrame) -> DataFrame:
     request names are grouped, with a partial aggregate before the shuffle.
     """
     wanted = requests.where("alert_id IS NOT NULL").select(F.col("alert_id").alias("__uid")).distinct()
-    small = requests.limit(MAX_BROADCAST_REQUESTS + 1).count() <= MAX_BROADCAST_REQUESTS
     key = F.col("metadata.uid").alias("__uid")
     alert = prune_json(F.struct(*findings.columns), findings.schema)
     named = findings.select(key, F.struct(*findings.columns).alias("f")).join(
-        F.broadcast(wanted) if small else wanted, "__uid", "left_semi"
+        wanted, "__uid", "left_semi"
     )
     first = (
         named.groupBy("__uid")
@@ -129,7 +126,11 @@ def action_payloads(requests: DataFrame, findings: DataFrame) -> DataFrame:
     error = F.when(F.col("alert_id").isNull(), "missing alert_id").when(
         F.col("__alert").isNull(), "no such alert"
     )
-    return requests.join(first, requests["alert_id"] == first["__uid"], "left").select(
+    # Requests that name no alert would all meet in one task of the join.
+    named_requests = requests.where("alert_id IS NOT NULL")
+    nameless = requests.where("alert_id IS NULL").withColumn("__alert", F.lit(None).cast("string"))
+    joined = named_requests.join(first, named_requests["alert_id"] == first["__uid"], "left").drop("__uid")
+    return joined.unionByName(nameless).select(
         "request_id",
         "alert_id",
         F.when(error.isNull(), F.coalesce("data", "__alert")).alias("data"),

@@ -104,9 +104,12 @@ both(
 both(
     "sql_agg_approx",
     "events",
-    "SELECT true AS distinct_close, true AS median_close",
-    """SELECT abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.15 * count(DISTINCT user_id) AS distinct_close,
-       abs(percentile_approx(value, 0.5) - percentile(value, 0.5)) <= 5 AS median_close FROM events""",
+    """SELECT count(*) AS n, approx_count_distinct(user_id) BETWEEN 0.85 * count(DISTINCT user_id) AND 1.15 * count(DISTINCT user_id) AS distinct_close,
+       (SELECT count(*) FROM events WHERE value <= m) BETWEEN 0.48 * count(*) AND 0.52 * count(*) AS median_close
+       FROM events, (SELECT approx_quantile(value, 0.5) AS m FROM events) GROUP BY m""",
+    """SELECT count(*) AS n, approx_count_distinct(user_id) BETWEEN 0.85 * count(DISTINCT user_id) AND 1.15 * count(DISTINCT user_id) AS distinct_close,
+       sum(CASE WHEN value <= m THEN 1 ELSE 0 END) BETWEEN 0.48 * count(*) AND 0.52 * count(*) AS median_close
+       FROM events CROSS JOIN (SELECT percentile_approx(value, 0.5, 1000) AS m FROM events)""",
 )
 both(
     "sql_window_rank",

@@ -14,6 +14,7 @@ from eventlake.operators.triage import (
     filter_alerts,
     get_alerts,
     of_class,
+    recent_events,
     severity_facets,
     severity_rank,
 )
@@ -46,16 +47,16 @@ def alerts_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "alerts_range_inclusive",
     f"""WITH {EV}, {HITS}, edge AS (SELECT min(time_ms) AS a, max(time_ms) AS b FROM ev WHERE event_type = 'error' AND value >= 100)
-        {_ALERTS}, edge WHERE time_ms BETWEEN a AND b ORDER BY time_ms DESC, uid, finding_uid LIMIT 100000""",
+        {_ALERTS}, edge WHERE time_ms BETWEEN a AND b""",
 )
 def alerts_range_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings exactly at either end are in."""
     found = sample_findings(spark, sf_dir)
     edge = found.where("rule_id = 'r0'").agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
     if edge["a"] is None:
-        return _flat(get_alerts(found.where("false"), None, None))
+        return _flat(get_alerts(found.where("false"), None, None, limit=None))
     text = [t.strftime("%Y-%m-%dT%H:%M:%S.%f") + "Z" for t in (edge["a"], edge["b"])]
-    return _flat(get_alerts(found, *text, limit=100_000))
+    return _flat(get_alerts(found, *text, limit=None))
 
 
 _FIRST = "SELECT id, rule_id FROM hits WHERE id = (SELECT min(id) FROM hits WHERE rule_id = 'r1') ORDER BY " + _UID + " LIMIT 1"
@@ -222,13 +223,11 @@ def adhoc_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "class_filter",
-    f"WITH {EV} SELECT least(count(*), 10) AS n, min(class_uid) AS low, max(class_uid) AS high FROM ev WHERE class_uid = 3001",
+    f"WITH {EV} SELECT event_id, class_uid FROM ev WHERE class_uid = 3001 ORDER BY ts DESC, event_id LIMIT 10",
 )
 def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = of_class(typed_events(spark, sf_dir), 3001)
-    return some.agg(
-        F.count(F.lit(1)).alias("n"), F.min("class_uid").alias("low"), F.max("class_uid").alias("high")
-    )
+    events = typed_events(spark, sf_dir).withColumnRenamed("ts", "time")
+    return of_class(events, 3001, then=("event_id",)).select("event_id", "class_uid")
 
 
 @query(
@@ -238,9 +237,6 @@ def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last day of a class, counted from the newest event instead of the clock."""
-    typed_events(spark, sf_dir).createOrReplaceTempView("adapted_events")
-    return run_sql(
-        spark,
-        """SELECT event_id FROM adapted_events WHERE class_uid = 3001
-           AND ts > (SELECT max(ts) FROM adapted_events) - INTERVAL 24 HOURS ORDER BY ts DESC, event_id LIMIT 100""",
-    )
+    events = typed_events(spark, sf_dir).withColumnRenamed("ts", "time")
+    newest = events.agg(F.max("time")).first()[0]
+    return recent_events(events.where("class_uid = 3001"), now=newest, then=("event_id",)).select("event_id")

@@ -53,3 +53,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"eventlake-{label}-") + "/t"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies; a missing one is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions.variants import get, json_or_text, variant_of
@@ -29,15 +29,32 @@ def read_text(
     return reader.text(path, wholetext=whole).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def number_repeats(lines: DataFrame) -> DataFrame:
+    """Tell equal lines of a file apart: the second and later ones get their number behind the file.
+
+    Only repeated lines are sorted, each file on its own; the rest pass through.
+    """
+    keyed = lines.withColumn("__line", F.xxhash64("file", "value"))
+    repeated = keyed.groupBy("__line").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__line")
+    nth = F.row_number().over(Window.partitionBy("__line", "file", "value").orderBy(F.lit(1)))
+    file = F.when(nth > 1, F.concat("file", F.lit("#"), nth)).otherwise(F.col("file"))
+    again = keyed.join(repeated, "__line", "left_semi").withColumn("file", file)
+    return keyed.join(repeated, "__line", "left_anti").union(again).drop("__line")
+
+
 def read_pushed(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
     """Pushed record envelopes, one JSON text per line; see `push_events` for the layout."""
     lines = read_text(spark, path, streaming=streaming, max_files=max_files)
+    if not streaming:
+        lines = number_repeats(lines)
     return push_events(lines, position=("file",))
 
 
 def read_ndjson(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """One JSON value per line. Lines that are not JSON get a reject reason."""
     lines = read_text(spark, path, streaming=streaming).where(F.trim("value") != "")
+    if not streaming:
+        lines = number_repeats(lines)
     events = from_json_values(
         lines.withColumn("data", F.try_parse_json("value")).withColumn("meta", F.expr(EMPTY_METADATA)),
         F.struct("data", "value"),
@@ -72,6 +89,8 @@ def read_json_objects(spark: SparkSession, path: str, streaming: bool = False) -
 def read_hec(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Landed HTTP-collector envelopes, one per line: `event` is the data, the rest metadata."""
     lines = read_text(spark, path, streaming=streaming).where(F.trim("value") != "")
+    if not streaming:
+        lines = number_repeats(lines)
     body = F.try_parse_json("value")
     rest = F.map_filter(
         F.try_variant_get(body, "$", "map<string,variant>"), lambda k, _: k != "event"

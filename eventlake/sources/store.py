@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 from functools import reduce
+from urllib.parse import urlsplit, urlunsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,11 @@ from pyspark.sql import types as T
 from eventlake.model import CATEGORIES, CLASS_SCHEMAS, FINDING_CLASS_UID, FINDING_SCHEMA, category_of, class_path
 
 
-def _schema(class_uid: int) -> T.StructType:
-    return FINDING_SCHEMA if class_uid == FINDING_CLASS_UID else CLASS_SCHEMAS[class_uid]
+Schemas = dict[int, T.StructType]
+
+
+def _schema(class_uid: int, schemas: Schemas | None) -> T.StructType:
+    return ({FINDING_CLASS_UID: FINDING_SCHEMA} | (CLASS_SCHEMAS if schemas is None else schemas))[class_uid]
 
 
 def read_tree(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -26,9 +30,9 @@ def read_tree(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.parquet(path)
 
 
-def read_class(spark: SparkSession, base: str, class_uid: int) -> DataFrame:
+def read_class(spark: SparkSession, base: str, class_uid: int, schemas: Schemas | None = None) -> DataFrame:
     """One stored class; a class that was never written is an empty table, not an error."""
-    schema = _schema(class_uid)
+    schema = _schema(class_uid, schemas)
     try:
         return read_tree(spark, f"{base}/{class_path(class_uid)}", schema)
     except AnalysisException as exc:
@@ -39,11 +43,12 @@ def read_class(spark: SparkSession, base: str, class_uid: int) -> DataFrame:
 
 def confined(base: str, name: str) -> str:
     """Path of a file named relative to the store; a name that leaves the store is refused."""
-    root = posixpath.normpath(base)
+    place = urlsplit(base)
+    root = posixpath.normpath(place.path or "/")
     path = posixpath.normpath(posixpath.join(root, name.strip()))
-    if not path.startswith(root + "/"):
+    if not path.startswith(root.rstrip("/") + "/"):
         raise ValueError(f"{name!r} is outside the store")
-    return path
+    return urlunsplit((place.scheme, place.netloc, path, "", "")) if place.scheme else path
 
 
 def read_findings(spark: SparkSession, base: str | None, file: str | None = None) -> DataFrame:
@@ -57,14 +62,19 @@ def read_findings(spark: SparkSession, base: str | None, file: str | None = None
 
 def file_column(base: str) -> Column:
     """File of each row, relative to the store; unchanged when it lies elsewhere."""
-    path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
-    return F.regexp_replace(path, "^" + re.escape(base.rstrip("/") + "/"), "")
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(decoded, "^file:/+", "/")
+    root = re.sub("^file:/+", "/", base.rstrip("/"))
+    return F.regexp_replace(path, "^" + re.escape(root + "/"), "")
+
 
+def register_views(spark: SparkSession, base: str, schemas: Schemas | None = None) -> list[str]:
+    """Temp views: category_class per stored class, category_all per category, and all_events.
 
-def register_views(spark: SparkSession, base: str) -> list[str]:
-    """Temp views: category_class per stored class, category_all per category, and all_events."""
-    classes = [*CLASS_SCHEMAS, FINDING_CLASS_UID]
-    frames = {uid: read_class(spark, base, uid) for uid in classes}
+    `schemas` are the stored classes, with those of the user's own.
+    """
+    classes = [*dict.fromkeys([*(CLASS_SCHEMAS if schemas is None else schemas), FINDING_CLASS_UID])]
+    frames = {uid: read_class(spark, base, uid, schemas) for uid in classes}
     names = []
 
     def add(name: str, parts: list[DataFrame]) -> None:

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from eventlake.operators.detect import detect, event_time
+from eventlake.operators.detect import detect, event_time, usable_rules
 from eventlake.operators.envelope import accepted
 from eventlake.operators.route import store, store_findings
 from eventlake.operators.rules import Rule
@@ -42,8 +43,14 @@ def process_batch(
     rules: Callable[[], list[Rule]],
     normalise: Normaliser | None = None,
     sink: FindingSink | None = None,
+    schemas: dict[int, T.StructType] | None = None,
+    on_refused_rule: Callable[[dict[str, str]], None] | None = None,
 ) -> None:
-    """Store the events of one batch, match them, store the findings and hand them downstream."""
+    """Store the events of one batch, match them, store the findings and hand them downstream.
+
+    `schemas` are the classes to store, with those of the user's own. A rule that does not compile is
+    set aside for the batch and reported to `on_refused_rule`; the others run.
+    """
     landed = landed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         refused = landed.where("reject_reason IS NOT NULL").select("event_id", "reject_reason", "raw")
@@ -51,12 +58,21 @@ def process_batch(
             refused.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}/part=landing")
         events = accepted(landed)
         if normalise:
-            events = events.transform(normalise)
-        store(events, base, quarantine, batch_id=batch_id)
-        findings = detect(events, rules(), keep_metadata=True)  # rules are read anew for each batch
+            # Read by storing and by matching, so computed once.
+            events = events.transform(normalise).persist(StorageLevel.MEMORY_AND_DISK)
+        store(events, base, quarantine, schemas=schemas, batch_id=batch_id)
+        usable, refused_rules = usable_rules(events, rules())  # rules are read anew for each batch
+        if refused_rules and on_refused_rule:
+            on_refused_rule(refused_rules)
+        findings = detect(events, usable, keep_metadata=True)
+        if sink:  # matched once for both
+            findings = findings.persist(StorageLevel.MEMORY_AND_DISK)
         store_findings(findings.drop("event_metadata"), base, batch_id)
         if sink:
             sink(findings, batch_id)
+            findings.unpersist()
+        if normalise:
+            events.unpersist()
     finally:
         landed.unpersist()
 
@@ -70,6 +86,8 @@ def start_ingest(
     rules: Callable[[], list[Rule]],
     normalise: Normaliser | None = None,
     sink: FindingSink | None = None,
+    schemas: dict[int, T.StructType] | None = None,
+    on_refused_rule: Callable[[dict[str, str]], None] | None = None,
     every: str | None = "5 minutes",
 ) -> StreamingQuery:
     """Run `process_batch` over a landed stream; `every=None` takes what is there and stops."""
@@ -83,6 +101,8 @@ def start_ingest(
             rules=rules,
             normalise=normalise,
             sink=sink,
+            schemas=schemas,
+            on_refused_rule=on_refused_rule,
         )
 
     writer = landed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

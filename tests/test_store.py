@@ -49,7 +49,8 @@ DOCS = [
 def test_store(spark, events, staged):
     base, aside = scratch_dir(spark, "b"), scratch_dir(spark, "q")
     stored = store_batch(events(*DOCS), base, aside) if staged else store(events(*DOCS), base, aside)
-    assert stored == {6003: 1, 3002: 1}
+    assert stored == {6003: 1, 3002: 1, 2004: 1}
+    assert reader.read_findings(spark, base).select("class_uid", "rule_id").collect() == [(2004, None)]
     row = reader.read_class(spark, base, 3002).first()
     assert row.src_endpoint.ip == "1.2.3.4" and row.src_endpoint.port is None
     assert row.metadata is not None and row.metadata.uid is None
@@ -57,7 +58,6 @@ def test_store(spark, events, staged):
     assert bad == {
         "1": "expected object for 'actor'",
         "3": "unknown class_uid",
-        "4": "written by detection only",
         "5": "no usable class_uid",
     }
     assert reader.read_class(spark, base, 1007).count() == 0
@@ -69,7 +69,8 @@ def test_replayed_batch_replaces_itself(spark, events):
         store(events(*DOCS), base, aside, batch_id=0)
     store(events(*DOCS), base, aside, batch_id=1)
     assert reader.read_class(spark, base, 6003).count() == 2
-    assert reader.read_tree(spark, aside).count() == 8
+    assert reader.read_tree(spark, aside).count() == 6
+    assert reader.read_findings(spark, base).count() == 2
 
 
 def test_files(spark, events):
@@ -115,7 +116,7 @@ def test_views_and_sql(spark, events):
     store(events(*DOCS), base, aside)
     names = reader.register_views(spark, base)
     assert {"application_api_activity", "application_all", "all_events"} <= set(names)
-    assert run_sql(spark, "SELECT * FROM all_events;").count() == 2
+    assert run_sql(spark, "SELECT * FROM all_events;").count() == 3
     assert run_sql(spark, "SELECT id FROM range(50)").count() == 10
     assert run_sql(spark, "SELECT id FROM range(50) LIMIT 20 ; ").count() == 20
     assert run_sql(spark, "SELECT 'limit' AS x FROM range(50)").count() == 10
