@@ -8,8 +8,8 @@ likelihood estimate (six standard errors below the threshold are let through) an
 their full sets.
 
 Equal sets are one row throughout. No group is expanded into pairs: a bucket is first compared with its
-hub only; what the verified links leave unconnected is compared with the rest of its bucket, in blocks
-inside tasks, on registers.
+hub only; what the verified links leave unconnected is compared with the rest of its hub's group, in
+blocks inside tasks, on full sets, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,8 @@ from eventlake.llm.words import BASE, column_words, mix
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 32, 5
 M, B, RATE, TOP = BANDS * ROWS, 1.001, 20.0, (1 << 16) - 1
-BLOCK, PER_HUB, BROADCAST_IDS = 2000, 500, 1_000_000
+# Shingles in a block of a group; partners of a hub that share a copy of its set.
+BLOCK, PER_HUB, BROADCAST_IDS = 1_000_000, 500, 1_000_000
 
 _rng = np.random.default_rng(10)
 ODD = _rng.integers(0, 1 << 32, M, np.uint32) | np.uint32(1)
@@ -115,9 +115,8 @@ def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, other: np.ndarray, perce
     return estimate(more, less, n, other) >= t - 6 * np.sqrt(t * (1 - t) / M)
 
 
-def _regs(column: pa.Array | pd.Series) -> np.ndarray:
-    values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(values), "<u2").reshape(-1, M)
+def _regs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, M)
 
 
 def _estimated(percent: int):
@@ -131,35 +130,74 @@ def _estimated(percent: int):
     return run
 
 
+class _Roots:
+    """Components within a task, as far as its own links join them."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, c: int) -> int:
+        while c in self.up:
+            c = self.up[c]
+        return c
+
+
 def _left_over(percent: int):
-    """Pairs of a block of a bucket: an unconnected row with a row of another component."""
+    """Links of a block of a hub's group, between rows of different components; at most one per component.
+
+    Each set becomes numbers of the block's distinct shingles. A row outside the main component marks its
+    own, and the marks are counted for all other rows at once: these are exact intersections.
+    """
 
-    def pairs(rows: pa.Table) -> pd.DataFrame:
-        side = rows["side"].to_numpy()
-        regs, n, s, comp = _regs(rows["regs"].combine_chunks()), rows["n"].to_numpy(), rows["s"].to_numpy(), rows["comp"].to_numpy()
-        left, right, found = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+    def links(rows: pa.Table) -> tuple[list[int], list[int]]:
+        side, s, comp = (rows[c].to_numpy() for c in ("side", "s", "comp"))
+        sets = rows["shingles"].combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        _, number = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sets.value_lengths().to_numpy())
+        n = np.diff(ends, prepend=0)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return [], []
+        each = np.concatenate([number[ends[y] - n[y] : ends[y]] for y in right])
+        starts = np.cumsum(n[right]) - n[right]
+        mark = np.zeros(number.max() + 1, np.int32)
+        roots, a, b = _Roots(), [], []
         for x in left:
-            y = right[comp[right] != comp[x]]
-            y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-            if len(y):
-                y = y[likely(np.broadcast_to(regs[x], (len(y), M)), regs[y], np.full(len(y), n[x]), n[y], percent)]
-                found.append(pd.DataFrame({"a": s[x], "b": s[y], "na": n[x], "nb": n[y]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "na": [], "nb": []}, dtype="int64")
+            own = number[ends[x] - n[x] : ends[x]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[each], starts)
+            mark[own] = 0
+            near = 100 * common >= percent * (n[x] + n[right] - common)
+            for y in right[near & (comp[right] != comp[x])]:
+                p, q = roots.of(int(comp[x])), roots.of(int(comp[y]))
+                if p != q:
+                    roots.up[p] = q
+                    a.append(int(s[x]))
+                    b.append(int(s[y]))
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def batch_of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = links(pa.Table.from_batches(rows))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            key = np.stack([held[k].to_numpy() for k in ("bucket", "i", "j")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            for first, end in zip([0, *cuts[:-1]], cuts):
-                yield pa.RecordBatch.from_pandas(pairs(held.slice(first, end - first)), preserve_index=False)
-            held = held.slice(cuts[-1]) if len(cuts) else held
-        if held is not None:
-            yield pa.RecordBatch.from_pandas(pairs(held), preserve_index=False)
+            key = np.stack([batch.column(k).to_numpy() for k in ("hub", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(cuts, cuts[1:]):
+                if tuple(key[:, first]) != now and held:
+                    yield batch_of(held)
+                    held = []
+                now = tuple(key[:, first])
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield batch_of(held)
 
     return run
 
@@ -169,7 +207,7 @@ PAIRS = "a long, b long, na long, nb long"
 
 def _verified(pairs: DataFrame, rows: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose full sets reach the threshold. A hub's set is sent once per 500 partners."""
-    sets = stored(_full_sets(pairs, rows, named), "near-full")
+    sets = stored(_full_sets(pairs.select(F.explode(F.array("a", "b")).alias("s")), rows, named), "near-full")
     with_b = pairs.join(sets.select(F.col("s").alias("b"), F.col("shingles").alias("sb")), "b")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_HUB).cast("int").alias("parts"))
     hubs = sets.select(F.col("s").alias("a"), F.col("shingles").alias("sa")).join(parts, "a")
@@ -217,9 +255,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stored(_verified(first, rows, sets, percent), "near-links")
     roots = stored(components(links, "near-stars"), "near-roots")
 
-    second = _second_pairs(members, sets, roots, percent)
-    if not second.isEmpty():
-        more = stored(_verified(second, rows, sets, percent), "near-links")
+    more = _second_links(members, rows, sets, roots, percent)
+    if not more.isEmpty():
         roots = stored(components(links.union(more), "near-stars"), "near-roots")
     forget(members)
 
@@ -240,33 +277,39 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
     return docs.join(maybe_broadcast(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _full_sets(pairs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Full shingle sets of those that occur in a pair, from one text each."""
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    wanted = stored(named.join(paired, "s").where("doc_id IS NOT NULL").select("doc_id").distinct(), "near-wanted")
+def _full_sets(some: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Full shingle sets of those listed in `some` (s), from one text each."""
+    wanted = stored(named.join(some.distinct(), "s").where("doc_id IS NOT NULL").select("doc_id").distinct(), "near-wanted")
     few = wanted.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     unnamed = rows.where("doc_id IS NULL")
     return texts.union(unnamed).mapInArrow(_sets, "s long, shingles array<long>").dropDuplicates(["s"])
 
 
-def _second_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidates that the hubs have not settled: rows outside the main component of their bucket with the rest."""
+def _second_links(members: DataFrame, rows: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links that the hubs have not shown, within buckets that still hold several components.
+
+    All buckets of a hub form one group, so a set is sent once for it and not for every bucket. Rows
+    outside the group's main component are compared with all others of the group, in blocks of bounded
+    size, on full sets inside the tasks: only links come out.
+    """
     placed = members.where("size > 2").join(roots.withColumnRenamed("id", "s"), "s", "left")
     placed = placed.select("bucket", "s", "n", F.col("hub.s").alias("hub"), F.coalesce("root", "s").alias("comp"))
-    counted = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = counted.groupBy("bucket").agg(
-        F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("size")
-    )
-    mixed = mixed.where("comps > 1").select("bucket", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    # The hub was compared with everybody.
-    open_ = stored(placed.where("s != hub").join(mixed, "bucket"), "near-open")
-    with_regs = open_.join(sets.select("s", "regs"), "s").withColumn("own", F.pmod(F.hash("s"), F.col("blocks")))
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    # The hub itself was compared with everybody.
+    grouped = stored(placed.where("s != hub").join(mixed, "bucket", "left_semi").select("hub", "s", "n", "comp").distinct(), "near-open")
+    counted = grouped.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    groups = counted.groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
+    groups = groups.where("comps > 1").select("hub", F.col("main.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = stored(grouped.join(groups, "hub").withColumn("own", F.pmod(F.hash("s"), F.col("blocks"))), "near-open")
+    full = stored(_full_sets(open_.select("s"), rows, sets), "near-full")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = with_regs.where("comp != main").select("*", other).select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "s", "n", "comp", "regs")
-    right = with_regs.select("*", other).select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "s", "n", "comp", "regs")
-    blocks = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return stored(blocks.mapInArrow(_left_over(percent), PAIRS).distinct(), "near-second")
+    left = open_.where("comp != main").select("*", other).select("hub", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "s", "comp")
+    right = open_.select("*", other).select("hub", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "s", "comp")
+    blocks = left.union(right).join(full, "s").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    links = stored(blocks.mapInArrow(_left_over(percent), "a long, b long"), "near-links")
+    forget(full)
+    return links
 
 
 NEAR_SQL = """
