@@ -149,6 +149,9 @@ CLASS_SCHEMAS: dict[int, T.StructType] = {
     ),
 }
 
+# Folders of a stored class: the batch that wrote it, then the date of the events.
+PARTITIONS = T.StructType([T.StructField("batch_id", _STR), T.StructField("event_date", T.DateType())])
+
 FINDING_SCHEMA = T.StructType(
     [
         T.StructField("class_uid", _INT, False),

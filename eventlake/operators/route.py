@@ -24,8 +24,8 @@ FINDING_WRITE_OPTIONS = {
     "parquet.bloom.filter.expected.ndv#metadata.uid": "1000000",
 }
 JOBS_AT_ONCE = 8
-# Folder, below the class, of findings that arrive as events.
-INCOMING = "incoming"
+# Mark of the batch folders of findings that arrive as events.
+INCOMING = "in-"
 # Annotations kept with every stored column set.
 CREATED_BY = "eventlake"
 
@@ -51,9 +51,8 @@ def route(events: DataFrame, schemas: dict[int, T.StructType] | None = None) ->
     )
 
 
-def _target(base: str, class_uid: int, batch_id: int | None, part: str | None = None) -> str:
-    path = f"{base}/{class_path(class_uid)}" + (f"/{part}" if part else "")
-    return path if batch_id is None else f"{path}/batch_id={batch_id}"
+def _target(base: str, class_uid: int, batch_id: int | None, part: str = "") -> str:
+    return f"{base}/{class_path(class_uid)}/batch_id={part}{'all' if batch_id is None else batch_id}"
 
 
 def describe(df: DataFrame, class_uid: int) -> DataFrame:
@@ -62,12 +61,15 @@ def describe(df: DataFrame, class_uid: int) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata={"comment": note}) for c in df.columns])
 
 
-def write_class(df: DataFrame, base: str, class_uid: int, batch_id: int | None = None, part: str | None = None) -> None:
-    """Write coerced rows of one class. Sorted by time within each file, so time ranges skip row groups.
+def write_class(df: DataFrame, base: str, class_uid: int, batch_id: int | None = None, part: str = "") -> None:
+    """Write coerced rows of one class, in a folder for each date, so that a time range opens few files.
 
-    A batch writes its own folder by overwrite, so that a replay replaces its output.
+    Rows are brought together by date first: few files for a quiet date, several for a busy one. They
+    are sorted by time within a file, so time ranges skip row groups. A batch writes its own folder by
+    overwrite, so that a replay replaces its output.
     """
-    writer = describe(df, class_uid).sortWithinPartitions("time").write.options(**WRITE_OPTIONS)
+    dated = describe(df, class_uid).withColumn("event_date", F.to_date("time")).hint("rebalance", "event_date")
+    writer = dated.sortWithinPartitions("event_date", "time").write.partitionBy("event_date").options(**WRITE_OPTIONS)
     if class_uid == FINDING_CLASS_UID:
         writer = writer.options(**FINDING_WRITE_OPTIONS)
     mode = "append" if batch_id is None else "overwrite"
@@ -130,7 +132,7 @@ def store(
             seen = Observation()
             counted = coerced.observe(seen, F.count("reject_reason").alias("rejected"))
             # Findings from outside lie beside those of `store_findings`, which replaces its own folder.
-            part = INCOMING if uid == FINDING_CLASS_UID else None
+            part = INCOMING if uid == FINDING_CLASS_UID else ""
             write_class(accepted_rows(counted), base, uid, batch_id, part)
             rejected = seen.get["rejected"]
             if rejected:

@@ -6,8 +6,10 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlake.functions.prune import prune_json
+from eventlake.model import PARTITIONS
 
 PAGE = 10  # rows of an alert list
 
@@ -24,6 +26,22 @@ def parse_time(text: str | None, default: datetime) -> datetime:
     return default if parsed is None or parsed.tzinfo is None else parsed
 
 
+def in_range(events: DataFrame, first: Column, last: Column | None = None) -> DataFrame:
+    """Events from `first` to `last`, both included. Of stored ones only the folders of those dates are read."""
+    kept = events.where(F.col("time") >= first)
+    kept = kept if last is None else kept.where(F.col("time") <= last)
+    if "event_date" in events.columns:
+        kept = kept.where(F.col("event_date") >= F.to_date(first))
+        kept = kept if last is None else kept.where(F.col("event_date") <= F.to_date(last))
+    return kept
+
+
+def _alert(findings: DataFrame) -> Column:
+    """A finding as pruned JSON, without what only its place in the store tells."""
+    schema = T.StructType([f for f in findings.schema.fields if f.name not in PARTITIONS.names])
+    return prune_json(F.struct(*schema.names), schema)
+
+
 def get_alerts(
     findings: DataFrame,
     start: str | None = None,
@@ -49,7 +67,7 @@ def get_alerts(
     ]
     if file is not None:
         columns.append(file.alias("file"))
-    found = findings.where(F.col("time").between(F.lit(first), F.lit(last))).select(*columns)
+    found = in_range(findings, F.lit(first), F.lit(last)).select(*columns)
     return found if limit is None else found.orderBy(F.desc("time"), "uid", "finding_uid").limit(limit)
 
 
@@ -61,7 +79,7 @@ def fetch_alert(findings: DataFrame, uid: str) -> DataFrame:
         .limit(1)
         .select(
             F.col("metadata.uid").alias("uid"),
-            prune_json(F.struct(*findings.columns), findings.schema).alias("alert"),
+            _alert(findings).alias("alert"),
         )
     )
 
@@ -97,7 +115,7 @@ def recent_events(events: DataFrame, hours: int = 24, limit: int = 100, *, now:
     """Some events of the hours before `now`, newest first; `then` names columns that order equal times."""
     until = F.current_timestamp() if now is None else F.lit(now)
     since = until - F.expr(f"INTERVAL {int(hours)} HOURS")
-    return events.where(F.col("time") > since).orderBy(F.desc("time"), *then).limit(limit)
+    return in_range(events, since).where(F.col("time") > since).orderBy(F.desc("time"), *then).limit(limit)
 
 
 def of_class(events: DataFrame, class_uid: int, limit: int = PAGE, *, then: tuple[str, ...] = ()) -> DataFrame:
@@ -113,7 +131,7 @@ def action_payloads(requests: DataFrame, findings: DataFrame) -> DataFrame:
     """
     wanted = requests.where("alert_id IS NOT NULL").select(F.col("alert_id").alias("__uid")).distinct()
     key = F.col("metadata.uid").alias("__uid")
-    alert = prune_json(F.struct(*findings.columns), findings.schema)
+    alert = _alert(findings)
     named = findings.select(key, F.struct(*findings.columns).alias("f")).join(
         wanted, "__uid", "left_semi"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from eventlake.model import CLASS_SCHEMAS
 from eventlake.operators.detect import detect
 from eventlake.operators.route import store_batch, store_findings
+from eventlake.operators.triage import get_alerts
 from eventlake.plans.adhoc import run_sql
 from eventlake.plans.q_detect import rule
 from eventlake.plans.registry import query
@@ -159,3 +160,16 @@ def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {"events": read_class(spark, base, 6003), "findings": read_findings(spark, base), "sink": spark.read.option("recursiveFileLookup", "true").text(sent)}
     counts = [df.agg(count_rows()).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
     return counts[0].union(counts[1]).union(counts[2])
+
+
+@query(
+    "alerts_pruned",
+    f"""WITH {EV} SELECT CAST(to_timestamp(0) AS DATE) < CAST(ts AS DATE) AS later, count(*) AS n FROM ev
+        WHERE k < 10 AND time_ms BETWEEN 1704844800000 AND 1705017600000 GROUP BY 1""",
+)
+def alerts_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored findings of two days: only the folders of those dates are read."""
+    base = scratch_dir(spark, "store")
+    store_findings(_sample(spark, sf_dir), base)
+    found = get_alerts(read_findings(spark, base), "2024-01-10T00:00:00Z", "2024-01-12T00:00:00Z", limit=None)
+    return found.groupBy((F.col("time") > F.timestamp_seconds(F.lit(0))).alias("later")).agg(count_rows())

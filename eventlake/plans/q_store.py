@@ -210,7 +210,8 @@ def store_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "store_findings",
-    f"""WITH {EV}, {HITS} SELECT rule_id, count(*) AS n, 'findings/detection_finding' AS folder FROM hits GROUP BY rule_id""",
+    f"""WITH {EV}, {HITS} SELECT rule_id, count(*) AS n, 'findings/detection_finding/batch_id=all/event_date=' || strftime(ts, '%Y-%m-%d') AS folder
+        FROM hits GROUP BY rule_id, folder""",
 )
 def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "store")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventlake.model import CATEGORIES, CLASS_SCHEMAS, FINDING_CLASS_UID, FINDING_SCHEMA, category_of, class_path
+from eventlake.model import CATEGORIES, CLASS_SCHEMAS, FINDING_CLASS_UID, FINDING_SCHEMA, PARTITIONS, category_of, class_path
 
 
 Schemas = dict[int, T.StructType]
@@ -31,10 +31,14 @@ def read_tree(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def read_class(spark: SparkSession, base: str, class_uid: int, schemas: Schemas | None = None) -> DataFrame:
-    """One stored class; a class that was never written is an empty table, not an error."""
-    schema = _schema(class_uid, schemas)
+    """One stored class with its partition columns; a class never written is an empty table, not an error.
+
+    A condition on `event_date` leaves out the folders of all other dates.
+    """
+    schema = T.StructType([*_schema(class_uid, schemas).fields, *PARTITIONS.fields])
+    path = f"{base}/{class_path(class_uid)}"
     try:
-        return read_tree(spark, f"{base}/{class_path(class_uid)}", schema)
+        return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", path).parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
