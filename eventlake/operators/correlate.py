@@ -2,8 +2,9 @@
 
 All look back over (t - timespan .. t), both ends included, for every hit time t of a group. Work is
 laid out per (group, time slice of one timespan): a hit takes part in its own slice and, as context,
-in the next one. A window therefore never spans a whole group, and hits at the same instant are
-merged before the shuffle, so a group holding most of the data still spreads over many tasks.
+in the next one. A slice is cut into short parts with totals carried from part to part, and hits at
+the same instant are merged before the shuffle, so a group holding most of the data spreads over many
+tasks, also when all of it lies within one timespan.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from eventlake.operators.rules import RuleError, load_documents
 # Units of a timespan, in seconds.
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 KINDS = ("event_count", "value_count", "temporal", "temporal_ordered")
+PARTS = 64  # parts of a timespan
 COMPARISONS = {"gte": ">=", "gt": ">", "lte": "<=", "lt": "<", "eq": "="}
 
 
@@ -119,13 +122,29 @@ def _slices(df: DataFrame, span: int) -> DataFrame:
     ).drop("__s")
 
 
-def _sweep(deltas: DataFrame, group: list[str]) -> DataFrame:
+def _running(rows: DataFrame, group: list[str], span: int, value: Column, how, name: str) -> DataFrame:
+    """Running `how` (F.sum or F.max) of a value over the times of a slice, all of an instant included.
+
+    Taken in short parts of the slice, each by a task of its own, plus what the parts before it add up
+    to: a row for each part. So a group may hold most of all hits within one timespan.
+    """
+    keys = [*group, "__slot", "__part"]
+    width = max(span * 1_000_000 // PARTS, 1)
+    cut = rows.withColumns({"__part": F.floor(F.col("__us") / width), "__value": value}).repartition(*keys)
+    upto = Window.partitionBy(*keys).orderBy("__us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*group, "__slot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys).agg(how("__value").alias("__total")).withColumn("__before", how("__total").over(earlier))
+    left, right = cut.withColumn("__inside", how("__value").over(upto)).alias("l"), before.drop("__total").alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    both = left.join(right, reduce(lambda x, y: x & y, same), "left")
+    inside, carried = F.col("__inside"), F.col("__before")
+    total = F.greatest(inside, carried) if how is F.max else F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0))
+    return both.select(*[F.col(f"l.{c}") for c in rows.columns if c != name], total.alias(name))
+
+
+def _sweep(deltas: DataFrame, group: list[str], span: int) -> DataFrame:
     """Running sum of +/- changes per slice, all changes of an instant included."""
-    upto = Window.partitionBy(*group, "__slot").orderBy("__us").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    counted = deltas.withColumn("n", F.sum("__d").over(upto)).where("__own")
-    # The rows are already partitioned by group and slice, so this needs no shuffle.
+    counted = _running(deltas, group, span, F.col("__d"), F.sum, "n").where("__own")
     return counted.groupBy(*group, "__slot", "__us").agg(F.max("n").alias("n")).drop("__slot")
 
 
@@ -149,7 +168,7 @@ def event_counts(hits: DataFrame, group: list[str], span: int) -> DataFrame:
     """Hits of the group in the look-back window, per hit time."""
     instants = hits.groupBy(*group, "__us").agg(F.count(F.lit(1)).alias("__n"))
     yes = F.lit(True)
-    return _sweep(_changes(_slices(instants, span), group, span, F.col("__n"), yes, yes), group)
+    return _sweep(_changes(_slices(instants, span), group, span, F.col("__n"), yes, yes), group, span)
 
 
 def value_counts(hits: DataFrame, group: list[str], field: str, span: int) -> DataFrame:
@@ -170,7 +189,7 @@ def value_counts(hits: DataFrame, group: list[str], field: str, span: int) -> Da
     known = F.col(field).isNotNull()
     starts = known & (F.col("__back").isNull() | (F.col("__back") > reach))
     ends = known & (F.col("__ahead").isNull() | (F.col("__ahead") > reach))
-    return _sweep(_changes(rows, group, span, F.lit(1), starts, ends), group)
+    return _sweep(_changes(rows, group, span, F.lit(1), starts, ends), group, span)
 
 
 def sequences(hits: DataFrame, group: list[str], rules: tuple[str, ...], span: int, ordered: bool) -> DataFrame:
@@ -181,23 +200,18 @@ def sequences(hits: DataFrame, group: list[str], rules: tuple[str, ...], span: i
     """
     instants = hits.groupBy(*group, "__us", "rule_id").agg(F.lit(1).alias("__one"))
     rows = _slices(instants, span)
-    upto = Window.partitionBy(*group, "__slot").orderBy("__us").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     us = F.col("__us")
     if ordered:
         start = "__us"
         for i, rule in enumerate(rules):
             # Latest start of a chain ending in this rule, seen so far.
-            rows = rows.withColumn(
-                f"__c{i}", F.max(F.when(F.col("rule_id") == rule, F.col(start))).over(upto)
-            )
+            rows = _running(rows, group, span, F.when(F.col("rule_id") == rule, F.col(start)), F.max, f"__c{i}")
             start = f"__c{i}"
         met = (F.col("rule_id") == rules[-1]) & (F.col(start) >= us - span * 1_000_000)
     else:
         met = F.lit(True)
         for i, rule in enumerate(rules):
-            rows = rows.withColumn(f"__c{i}", F.max(F.when(F.col("rule_id") == rule, us)).over(upto))
+            rows = _running(rows, group, span, F.when(F.col("rule_id") == rule, us), F.max, f"__c{i}")
             met = met & (F.col(f"__c{i}") >= us - span * 1_000_000)
     return (
         rows.where(F.col("__own") & F.coalesce(met, F.lit(False)))

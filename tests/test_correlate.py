@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventlake.operators.correlate import KINDS, correlate, correlation_from_dict, span_seconds
 from eventlake.operators.rules import RuleError
@@ -99,6 +100,21 @@ def test_windows_are_sliced(hits):
                 assert "__slot" in line
 
 
+def test_a_hot_group_within_one_timespan_spreads(spark):
+    n = 20_000
+    hits = spark.range(n).select(
+        F.lit("r1").alias("rule_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"),
+        F.timestamp_micros(F.col("id") * 20_000_000).alias("time"), F.col("id").alias("v"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = correlate(hits, spec("event_count", ["r1"], "1w", gte=1, field="v")).where("g = 'hot'")
+        rows = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(rows) == n // 2 and len(rows) >= 6 and max(rows) < n // 4
+
+
 def test_documents():
     assert span_seconds("5m") == 300
     for bad in (
