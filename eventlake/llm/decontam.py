@@ -23,7 +23,8 @@ from eventlake.llm.common import select_only, settings
 from eventlake.llm.words import BASE, SPACE, column_bytes, mix, pieces, span_hashes, spans
 
 SHINGLE, OVERLAP = 5, 0.8
-K1, B, BLOCK, SLICE = 1.2, 0.75, 16, 20_000
+# Items in a block at least, cells of the table of block maxima at most, items in an index.
+K1, B, BLOCK, CELLS, SLICE = 1.2, 0.75, 4, 1 << 24, 4000
 FACTORS = np.random.default_rng(6).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 # Words here end at ASCII punctuation too, so that quotes and changed commas don't hide an item.
@@ -101,13 +102,24 @@ class Index:
         self.terms = np.array(sorted(postings), np.uint64)
         self.items_of = [np.array([i for i, _ in postings[t]]) for t in self.terms.tolist()]
         self.impacts = [np.array([w for _, w in postings[t]]) for t in self.terms.tolist()]
-        self.block_max = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for w in self.impacts]
         self.most = np.array([w.max() for w in self.impacts])
+        # Largest impact of each term in each block of items.
+        self.block = max(BLOCK, -(-len(self.docs) * len(self.terms) // CELLS))
+        self.peaks = np.zeros((len(self.terms), -(-len(self.docs) // self.block)), np.float32)
+        for row, (own, impacts) in enumerate(zip(self.items_of, self.impacts)):
+            np.maximum.at(self.peaks[row], own // self.block, impacts)
 
     def retrieve(self, terms: np.ndarray) -> list[int]:
-        """Items (by number) whose impacts over the distinct `terms` (numbers in the index) reach 1."""
+        """Items (by number) whose impacts over the distinct `terms` (numbers in the index) reach 1.
+
+        Block-max WAND: items in blocks whose maxima add up to less than 1 are skipped; in the other
+        blocks the terms' largest impacts decide which item comes next.
+        """
+        live = np.flatnonzero(self.peaks[terms].sum(axis=0) >= 1 - 1e-4)  # the maxima are rounded
+        if not len(live):
+            return []
         found: list[int] = []
-        cursors = [[int(self.items_of[t][0]), 0, int(t)] for t in terms]  # item, position, term
+        cursors = [c for c in (self._at(int(t), 0, int(live[0]) * self.block) for t in terms) if c]
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
@@ -119,36 +131,28 @@ class Index:
             if pivot < 0:
                 break
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            # The blocks that would hold the item bound its score more tightly than whole lists.
-            bound, until = 0.0, None
-            for _, at, t in cursors[: pivot + 1]:
-                block = int(np.searchsorted(self.items_of[t][at:], item) + at) // BLOCK
-                if block < len(self.block_max[t]):
-                    bound += self.block_max[t][block]
-                    last = int(self.items_of[t][min((block + 1) * BLOCK, len(self.items_of[t])) - 1])
-                    until = last if until is None else min(until, last)
-            if bound < 1 - 1e-9:
-                # No item up to the end of the first of these blocks can reach 1.
-                target = max(item, until if until is not None else item) + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, max(cursors[pivot + 1][0], item + 1))
-                moved = range(pivot + 1)
+            block = int(np.searchsorted(live, item // self.block))
+            if block == len(live):
+                break
+            if live[block] != item // self.block:  # no item before the next live block can reach 1
+                target, moved = int(live[block]) * self.block, [c for c in cursors if c[0] < int(live[block]) * self.block]
             elif cursors[0][0] == item:
-                score = sum(self.impacts[t][at] for i, at, t in cursors if i == item)
-                if score >= 1 - 1e-9:
+                same = [c for c in cursors if c[0] == item]
+                if sum(self.impacts[t][at] for _, at, t in same) >= 1 - 1e-9:
                     found.append(item)
-                target, moved = item + 1, [k for k, c in enumerate(cursors) if c[0] == item]
+                target, moved = item + 1, same
             else:
-                target, moved = item, range(pivot + 1)
-            for k in moved:
-                _, at, t = cursors[k]
-                at += int(np.searchsorted(self.items_of[t][at:], target))
-                cursors[k] = [int(self.items_of[t][at]), at, t] if at < len(self.items_of[t]) else None
-            cursors = [c for c in cursors if c]
+                target, moved = item, [c for c in cursors if c[0] < item]
+            rest = cursors[len(moved) :]
+            cursors = rest + [c for c in (self._at(t, at, target) for _, at, t in moved) if c]
         return found
 
+    def _at(self, term: int, at: int, item: int) -> tuple[int, int, int] | None:
+        """Cursor of a term at its first posting from `at` on that has at least this item."""
+        own = self.items_of[term]
+        at += int(np.searchsorted(own[at:], item))
+        return (int(own[at]), at, term) if at < len(own) else None
+
     def matches(self, terms: np.ndarray) -> dict[int, tuple[float, float, float]]:
         """Verified items of a document: item number -> best overlap of the whole, its question, its answer."""
         if not len(self.terms) or not len(terms):
