@@ -49,7 +49,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return dedup_lines(table(spark, sf_dir, "documents"), by="edits").select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op3_token_files")
