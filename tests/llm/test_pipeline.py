@@ -39,3 +39,11 @@ def test_run_and_entry(spark):
     assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_from_080_on(spark):
+    """Of 51 five-word shingles each, 46 are common: 0.82 is a copy; with two words changed, 0.69 is none."""
+    words = [f"w{i}" for i in range(55)]
+    near, far = [*words[:20], "other", *words[21:]], [*words[:20], "new", *words[21:40], "newer", *words[41:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SF).collect()} == {1, 3}
