@@ -74,8 +74,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(mix(shingles * np.uint64(BASE)).sum(dtype=np.uint64))
                 regs.append(registers(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(regs, pa.binary())],
-                ["doc_id", "n", "s", "regs"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(regs, pa.binary())],
+                ["doc_id", "key", "n", "s", "regs"],
             )
 
 
@@ -222,17 +222,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, named: DataFrame, percent: int)
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
 
-    Documents are linked when 100 * intersection >= percent * union. A missing, empty or blank text has
-    the empty set and is linked with nothing. Rows that repeat an id stay rows of their own. A row
-    without an id can be linked, but names its component only if no other row can: then component_id is
-    null and the row is kept. Other columns are ignored; an empty table gives an empty result.
-    """
+
+def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, s) of every row of `docs`, and (s, doc_id, root) of every set that is not empty."""
     settings(docs.sparkSession)
-    rows = select_only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    sketched = stored(rows.mapInArrow(_sketch, "doc_id long, n long, s long, regs binary"), "near-sketch")
+    keyed = select_only(_with_key(docs), doc_id="doc_id", text="text", key="__key").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = keyed.select("doc_id", "text")
+    sketched = stored(keyed.mapInArrow(_sketch, "doc_id long, key long, n long, s long, regs binary"), "near-sketch")
     sets = stored(
         sketched.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.min("doc_id").alias("doc_id")),
         "near-sets",
@@ -259,8 +258,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not more.isEmpty():
         roots = stored(components(links.union(more), "near-stars"), "near-roots")
     forget(members)
-
     named = sets.select("s", "doc_id").join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    return sketched.select("doc_id", "key", "n", "s"), named
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * intersection >= percent * union. A missing, empty or blank text has
+    the empty set and is linked with nothing. Rows that repeat an id stay rows of their own. A row
+    without an id can be linked, but names its component only if no other row can: then component_id is
+    null and the row is kept. Other columns are ignored; an empty table gives an empty result.
+    """
+    sketched, named = _components(docs, percent)
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = stored(named.join(lowest, "root").select("s", "component_id"), "near-classes")
     found = sketched.select("doc_id", "n", "s").join(classes, "s", "left")
@@ -271,10 +281,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns; rows without an id always stay."""
-    dropped = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    dropped = stored(dropped, "near-dropped")
-    return docs.join(maybe_broadcast(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component, with all its columns, and every row whose text has no word.
+
+    The row with the lowest doc_id stays (one without an id only if no other can), of several the one with the
+    lowest hash of id and text. Rows are told apart by that hash, so rows without an id are dropped like others,
+    and a copy takes no other text of its id with it. Of rows that repeat id and text one stays.
+    """
+    sketched, named = _components(docs, percent)
+    rows = sketched.where("n > 0").groupBy("key", "s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("k"))
+    rows = stored(rows, "near-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
+    firsts = rows.groupBy("s").agg(F.min(place).alias("first")).join(named.select("s", "root"), "s")
+    keep = stored(firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")), "near-keep")
+    keys = rows.select(F.col("key").alias("__key"), "k")
+    dropped = stored(keys.join(maybe_broadcast(keep, BROADCAST_IDS), "__key", "left_anti").select("__key"), "near-dropped")
+    again = stored(keys.where("k > 1").join(maybe_broadcast(keep, BROADCAST_IDS), "__key", "left_semi").select("__key"), "near-again")
+    left = _with_key(docs).join(maybe_broadcast(dropped, BROADCAST_IDS), "__key", "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return left.select(*columns)
+    again = maybe_broadcast(again, BROADCAST_IDS)
+    once = left.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    return left.join(again, "__key", "left_anti").select(*columns).union(once.select(*columns))
 
 
 def _full_sets(some: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:

@@ -103,3 +103,16 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (300, 200)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), "t").collect())
     assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90, 300: 200, 200: 200}
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows without an id, ids with several texts, and repeated rows."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near, lone = text.replace("w59", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, near), (4, near), (4, near), (4, lone), (9, lone + " v60"), (None, "free one"), (None, "free one"), (5, None), (5, None)]
+    rows += [(2, "unique text of two"), (2, text), (1, text)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = without_near_duplicates(docs)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert kept.columns == docs.columns
+    assert got == sorted([(1, text), (4, lone), (None, "free one"), (5, None), (5, None), (2, "unique text of two")], key=repr)
