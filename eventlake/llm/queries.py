@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlake.llm.bktree import simhash_components
 from eventlake.llm.chat import CHAT_SQL, render_chats
 from eventlake.llm.decontam import leaks
 from eventlake.llm.linededup import dedup_lines
@@ -90,3 +91,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_duplicates", NEAR_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_duplicates")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
