@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlake.llm.bktree import simhash_components
 from eventlake.llm.chat import CHAT_SQL, render_chats
 from eventlake.llm.decontam import leaks
+from eventlake.llm.lexical import SEARCH_SQL, search
 from eventlake.llm.linededup import dedup_lines
 from eventlake.llm.mixing import MIX_SQL, mix_report
 from eventlake.llm.neardup import NEAR_SQL, near_duplicates
 from eventlake.llm.ngram import lm_scores
 from eventlake.llm.quality import quality_scores
+from eventlake.llm.rolerepair import repair_report
 from eventlake.llm.secretscan import secrets
 from eventlake.llm.tokens import token_files
 from eventlake.llm.topk import TOP_SQL, top_k
@@ -93,6 +95,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_role_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_simhash_duplicates")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))

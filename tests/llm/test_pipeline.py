@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
 
 def test_run_and_entry(spark):
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in (*range(1, 11), 13)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert corpus_pipeline.run(spark, SF).count() > 0
 
