@@ -2,9 +2,11 @@
 
 All look back over (t - timespan .. t), both ends included, for every hit time t of a group. Work is
 laid out per (group, time slice of one timespan): a hit takes part in its own slice and, as context,
-in the next one. A slice is cut into short parts with totals carried from part to part, and hits at
-the same instant are merged before the shuffle, so a group holding most of the data spreads over many
-tasks, also when all of it lies within one timespan.
+in the next one. A slice is cut into short parts, and hits at the same instant are merged before the
+shuffle. A part is summed up in one row; the rows of a slice's parts, taken in order, give the state
+with which each part begins, and that is joined back to it. So a group holding most of the data
+spreads over many tasks, also when all of it lies within one timespan, and every kind of correlation
+is one shuffle of the hits into parts, whatever the number of its rules.
 """
 
 from __future__ import annotations
@@ -122,30 +124,60 @@ def _slices(df: DataFrame, span: int) -> DataFrame:
     ).drop("__s")
 
 
-def _running(rows: DataFrame, group: list[str], span: int, value: Column, how, name: str) -> DataFrame:
-    """Running `how` (F.sum or F.max) of a value over the times of a slice, all of an instant included.
+def _parts(rows: DataFrame, keys: list[str], span: int) -> tuple[DataFrame, list[str]]:
+    """Rows brought together by part, and the keys of a part. `keys` end with the slice and what else tells rows apart."""
+    width = max(span * 1_000_000 // PARTS, 1)
+    # Never NULL; said here, so that what the joins infer does not tell apart the two readers of this shuffle.
+    known = rows.where("__us IS NOT NULL AND __own IS NOT NULL")
+    cut = known.withColumn("__part", F.floor(F.col("__us") / width))
+    return cut.repartition(*keys, "__part"), [*keys, "__part"]
+
+
+def _upto(keys: list[str]):
+    """From the beginning of a part, all rows of the current instant included."""
+    return Window.partitionBy(*keys).orderBy("__us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
 
-    Taken in short parts of the slice, each by a task of its own, plus what the parts before it add up
-    to: a row for each part. So a group may hold most of all hits within one timespan.
+def _earlier(keys: list[str]):
+    """The parts of a slice before the current one."""
+    return Window.partitionBy(*keys[:-1]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _begun(cut: DataFrame, summary: DataFrame, keys: list[str], carried: dict[str, Column], context: bool = False) -> DataFrame:
+    """The rows of the parts with the state their part begins with.
+
+    `summary` has a row for each part, with `__any` (it has rows of its own slice) and `__to` (its last
+    time) beside what `carried` is computed from. Without `context` only parts with `__any` are of further
+    use. Both sides read all columns of `cut`, so that they share its shuffle.
     """
-    keys = [*group, "__slot", "__part"]
-    width = max(span * 1_000_000 // PARTS, 1)
-    cut = rows.withColumns({"__part": F.floor(F.col("__us") / width), "__value": value}).repartition(*keys)
-    upto = Window.partitionBy(*keys).orderBy("__us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*group, "__slot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy(*keys).agg(how("__value").alias("__total")).withColumn("__before", how("__total").over(earlier))
-    left, right = cut.withColumn("__inside", how("__value").over(upto)).alias("l"), before.drop("__total").alias("r")
+    before = summary.select(*keys, "__any", "__to", *[c.alias(n) for n, c in carried.items()])
+    left, right = cut.alias("l"), before if context else before.where("__any")
+    right = right.alias("r")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    both = left.join(right, reduce(lambda x, y: x & y, same), "left")
-    inside, carried = F.col("__inside"), F.col("__before")
-    total = F.greatest(inside, carried) if how is F.max else F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0))
-    return both.select(*[F.col(f"l.{c}") for c in rows.columns if c != name], total.alias(name))
+    within = (F.col("l.__us") <= F.col("r.__to")) & (F.col("l.__own") <= F.col("r.__any"))
+    both = left.join(right, reduce(lambda x, y: x & y, same) & within)
+    return both.select("l.*", *[F.col(f"r.{n}") for n in carried])
+
+
+def _summary(rows: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.bool_or("__own").alias("__any"), F.max("__us").alias("__to"), *[c.alias(n) for n, c in sums.items()])
+
+
+def _at_instants(rows: DataFrame, group: list[str], keys: list[str], kept: Column, n: Column) -> DataFrame:
+    """One row (group, __us, n) for each instant of a slice's own rows that has a `kept` one."""
+    chosen = rows.where(F.col("__own") & F.coalesce(kept, F.lit(False)))
+    before = F.lag("__us").over(Window.partitionBy(*keys).orderBy("__us"))
+    once = chosen.withColumn("__back", before).where("__back IS NULL OR __back <> __us")
+    return once.select(*group, "__us", n.cast("bigint").alias("n"))
 
 
 def _sweep(deltas: DataFrame, group: list[str], span: int) -> DataFrame:
     """Running sum of +/- changes per slice, all changes of an instant included."""
-    counted = _running(deltas, group, span, F.col("__d"), F.sum, "n").where("__own")
-    return counted.groupBy(*group, "__slot", "__us").agg(F.max("n").alias("n")).drop("__slot")
+    cut, keys = _parts(deltas, [*group, "__slot"], span)
+    total = _summary(cut, keys, __total=F.sum("__d"))
+    rows = _begun(cut, total, keys, {"__before": F.sum("__total").over(_earlier(keys))})
+    n = F.sum("__d").over(_upto(keys)) + F.coalesce("__before", F.lit(0))
+    return _at_instants(rows.withColumn("__n", n), group, keys, F.lit(True), F.col("__n"))
 
 
 def _changes(rows: DataFrame, group: list[str], span: int, amount: Column, starts: Column, ends: Column) -> DataFrame:
@@ -175,20 +207,23 @@ def value_counts(hits: DataFrame, group: list[str], field: str, span: int) -> Da
     """Distinct non-null values of a field in the look-back window, per hit time.
 
     A value counts from its first sighting until a timespan after its last one: only the ends of a
-    run of sightings that are at most a timespan apart change the count.
+    run of sightings that are at most a timespan apart change the count. The sightings of one value
+    are cut into parts as well.
     """
-    instants = hits.groupBy(*group, "__us", field).agg(F.lit(1).alias("__one"))
-    order = Window.partitionBy(*group, "__slot", field).orderBy("__us")
+    instants = hits.groupBy(*group, "__us", F.col(field).alias("__value")).agg(F.lit(1).alias("__one")).drop("__one")
+    cut, keys = _parts(_slices(instants, span), [*group, "__slot", "__value"], span)
+    seen = _summary(cut, keys, __from=F.min("__us"))
+    later = Window.partitionBy(*keys[:-1]).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)
+    # Parts without rows of their own slice matter here too: their sightings end runs.
+    rows = _begun(cut, seen, keys, {"__last": F.max("__to").over(_earlier(keys)), "__next": F.min("__from").over(later)}, context=True)
+    order = Window.partitionBy(*keys).orderBy("__us")
     reach = F.lit(span * 1_000_000)
-    # One shuffle serves both windows: by value within a slice, then over the slice.
-    rows = _slices(instants, span).repartition(*group, "__slot").select(
-        "*",
-        (F.col("__us") - F.lag("__us").over(order)).alias("__back"),
-        (F.lead("__us").over(order) - F.col("__us")).alias("__ahead"),
-    )
-    known = F.col(field).isNotNull()
+    back = F.col("__us") - F.coalesce(F.lag("__us").over(order), "__last")
+    ahead = F.coalesce(F.lead("__us").over(order), "__next") - F.col("__us")
+    known = F.col("__value").isNotNull()
     starts = known & (F.col("__back").isNull() | (F.col("__back") > reach))
     ends = known & (F.col("__ahead").isNull() | (F.col("__ahead") > reach))
+    rows = rows.select(*group, "__slot", "__us", "__own", "__value", back.alias("__back"), ahead.alias("__ahead"))
     return _sweep(_changes(rows, group, span, F.lit(1), starts, ends), group, span)
 
 
@@ -198,24 +233,42 @@ def sequences(hits: DataFrame, group: list[str], rules: tuple[str, ...], span: i
     Ordered: the rules were seen one after the other (ties allowed) in the given order, and the
     time is that of the last rule. Per step only the latest possible start is carried along.
     """
-    instants = hits.groupBy(*group, "__us", "rule_id").agg(F.lit(1).alias("__one"))
-    rows = _slices(instants, span)
-    us = F.col("__us")
-    if ordered:
-        start = "__us"
-        for i, rule in enumerate(rules):
-            # Latest start of a chain ending in this rule, seen so far.
-            rows = _running(rows, group, span, F.when(F.col("rule_id") == rule, F.col(start)), F.max, f"__c{i}")
-            start = f"__c{i}"
-        met = (F.col("rule_id") == rules[-1]) & (F.col(start) >= us - span * 1_000_000)
+    instants = hits.groupBy(*group, "__us", "rule_id").agg(F.lit(1).alias("__one")).drop("__one")
+    cut, keys = _parts(_slices(instants, span), [*group, "__slot"], span)
+    us, low = F.col("__us"), F.col("__us") - span * 1_000_000
+    steps = range(len(rules))
+    is_rule = [F.col("rule_id") == r for r in rules]
+    if not ordered:
+        latest = _summary(cut, keys, **{f"__s{i}": F.max(F.when(is_rule[i], us)) for i in steps})
+        rows = _begun(cut, latest, keys, {f"__b{i}": F.max(f"__s{i}").over(_earlier(keys)) for i in steps})
+        seen = [F.greatest(f"__b{i}", F.max(F.when(is_rule[i], us)).over(_upto(keys))).alias(f"__c{i}") for i in steps]
+        rows = rows.select(*group, *[k for k in keys if k not in group], "__us", "__own", *seen)
+        met = reduce(lambda x, y: x & y, [F.col(f"__c{i}") >= low for i in steps])
     else:
-        met = F.lit(True)
-        for i, rule in enumerate(rules):
-            rows = _running(rows, group, span, F.when(F.col("rule_id") == rule, us), F.max, f"__c{i}")
-            met = met & (F.col(f"__c{i}") >= us - span * 1_000_000)
-    return (
-        rows.where(F.col("__own") & F.coalesce(met, F.lit(False)))
-        .select(*group, "__slot", "__us", F.lit(len(rules)).cast("bigint").alias("n"))
-        .dropDuplicates([*group, "__slot", "__us"])  # partitioned so already
-        .drop("__slot")
-    )
+        # Latest start of a chain of the rules a to i within the part.
+        inside = cut
+        for i in steps:
+            chain = {f"__l{i}_{i}": us} | {f"__l{a}_{i}": F.col(f"__l{a}_{i - 1}") for a in range(i)}
+            inside = inside.withColumns({n: F.max(F.when(is_rule[i], c)).over(_upto(keys)) for n, c in chain.items()})
+        pairs = [(a, i) for i in steps for a in range(i + 1)]
+        chains = _summary(inside, keys, **{f"__l{a}_{i}": F.max(f"__l{a}_{i}") for a, i in pairs})
+        # What a slice has reached, part by part: a chain goes on where the part holds the rest of it.
+        part = F.struct(*[f"__l{a}_{i}" for a, i in pairs])
+        none = F.array(*[F.lit(None).cast("long")] * len(rules))
+
+        def after(reached: Column, part: Column) -> Column:
+            new = []
+            for i in steps:
+                longer = [F.when(part[f"__l{a}_{i}"].isNotNull(), reached[a - 1]) for a in range(1, i + 1)]
+                new.append(F.greatest(reached[i], part[f"__l0_{i}"], *longer))
+            return F.array(*new)
+
+        reached = F.aggregate(F.collect_list(part).over(_earlier(keys)), none, after)  # at most a slice's parts
+        rows = _begun(cut, chains, keys, {"__reached": reached})
+        start: Column = us
+        for i in steps:
+            rows = rows.withColumn(f"__c{i}", F.greatest(F.col("__reached")[i], F.max(F.when(is_rule[i], start)).over(_upto(keys))))
+            start = F.col(f"__c{i}")
+        met = is_rule[-1] & (start >= low)
+    return _at_instants(rows, group, keys, met, F.lit(len(rules)))
+

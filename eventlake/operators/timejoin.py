@@ -14,7 +14,7 @@ def asof_join(
     take: list[str],
     *,
     inclusive: bool = True,
-    slice_seconds: int = 86_400,
+    slice_seconds: int = 3_600,
 ) -> DataFrame:
     """Left join on `by` to the right row with the greatest `on` <= left `on` (< if not `inclusive`).
 
