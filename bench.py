@@ -44,6 +44,7 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADLINE = {
     "detect_10_rules": QUERIES["detect_multi_rule"],
     "detect_200_rules": many_rules(200, threshold_rules),
+    "detect_2000_predicate_rules": many_rules(2000, threshold_rules),
     "detect_2000_equality_rules": many_rules(2000, equality_rules),
     "detect_20_rules_variant": model_rules,
     "detect_text_10_rules": text_rules,

@@ -10,7 +10,6 @@ import base64
 import fnmatch
 import itertools
 import json
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -34,6 +33,7 @@ MODIFIERS = {
     "lt", "lte", "gt", "gte", "exists", "fieldref",
     "base64", "base64offset", "wide", "utf16le", "utf16be", "utf16", "windash",
 }
+EQUALS = "{t} = {v}"
 COMPARE = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
 # A plain decimal number: the cast alone also takes NaN, Infinity and Java's type suffixes.
 NUMBER_TEXT = r"r'^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$'"
@@ -45,14 +45,62 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+@dataclass
+class Constants:
+    """Constants taken out of a rule's predicate: lists of texts, and numbers, in columns of its row."""
+
+    texts: list[list[str]] = field(default_factory=list)
+    numbers: list[float] = field(default_factory=list)
+
+    def text(self, values: list[str]) -> str:
+        self.texts.append(values)
+        return f"__c[{len(self.texts) - 1}]"
+
+    def number(self, value: float) -> str:
+        self.numbers.append(value)
+        return f"__n[{len(self.numbers) - 1}]"
+
+
 @dataclass
 class Fields:
-    """Rule fields as extracted columns: each path is read once, however many rules name it."""
+    """Rule fields as extracted columns: each path is read once, however many rules name it.
+
+    While `constants` is set, predicates name its columns in place of a rule's texts and numbers: what is
+    left is the rule's shape, the same for all rules that differ in them only.
+    """
 
     prefix: str = "f"
     names: dict[str, str] = field(default_factory=dict)
     columns: dict[str, str] = field(default_factory=dict)
     regexes: set[str] = field(default_factory=set)
+    constants: Constants | None = None
+
+    def literal(self, value: str) -> str:
+        return sql_text(value) if self.constants is None else self.constants.text([value]) + "[0]"
+
+    def numeral(self, value: float) -> str:
+        return f"{value!r}D" if self.constants is None else self.constants.number(value)
+
+    def any_of(self, options: list[tuple[str, str | None]]) -> Callable[[str], str]:
+        """Predicate that holds for one of the options: (text with {t} for the value and {v} for a constant, the constant)."""
+        groups: dict[str, list[str | None]] = {}
+        for call, constant in options:
+            groups.setdefault(call, []).append(constant)
+        parts = []
+        for call, constants in groups.items():
+            known = list(dict.fromkeys(c for c in constants if c is not None))
+            if not known:
+                parts.append((call, ""))
+            elif len(known) == 1:
+                parts.append((call, self.literal(known[0])))
+            elif self.constants is not None:
+                each = "array_contains({v}, {t})" if call == EQUALS else f"exists({{v}}, v -> {call.replace('{v}', 'v')})"
+                parts.append((each, self.constants.text(known)))
+            elif call == EQUALS:
+                parts.append(("{t} IN ({v})", ", ".join(sql_text(k) for k in known)))
+            else:
+                parts += [(call, sql_text(k)) for k in known]
+        return lambda t: "(" + " OR ".join(c.replace("{t}", t).replace("{v}", v) for c, v in parts) + ")"
 
     def _slot(self, name: str) -> str:
         return self.names.setdefault(name, f"__{self.prefix}{len(self.names)}")
@@ -97,6 +145,14 @@ class Fields:
         each = f"exists({items}, x -> {predicate(one)})"
         return f"if({items} IS NULL, {predicate(self.number(name))}, {each})"
 
+    def numbers(self, name: str) -> str:
+        """Array of the values that are numbers, NULLs among them."""
+        items = self.elements(name)
+        alone = f"array({self.number(name)})"
+        if items is None:
+            return alone
+        return f"if({items} IS NULL, {alone}, transform({items}, x -> CASE WHEN x RLIKE {NUMBER_TEXT} THEN try_cast(x AS DOUBLE) END))"
+
     def number_sql(self, name: str) -> str:
         text = self.text_sql(name)
         return f"CASE WHEN {text} RLIKE {NUMBER_TEXT} THEN try_cast({text} AS DOUBLE) END"
@@ -115,6 +171,10 @@ class Fields:
         """Predicate on any text value of the event."""
         raise NotImplementedError
 
+    def keyword_texts(self) -> str:
+        """Array of all text values of the event, in lower case."""
+        raise NotImplementedError
+
     def spell_keyword(self, text: str) -> str:
         return text
 
@@ -143,14 +203,16 @@ class BodyFields(Fields):
             options.append(f"transform({outer}, v -> try_variant_get(v, {inner}, 'string'))")
         return options[0] if len(options) == 1 else f"coalesce({', '.join(options)})"
 
-    def keyword_test(self, predicate: Callable[[str], str]) -> str:
-        leaves = self._column(
+    def keyword_texts(self) -> str:
+        return self._column(
             "k",
             "",
             f"transform(regexp_extract_all(to_json({self.body}), {sql_text(KEYWORD_LEAVES)}, 1), "
             "x -> lower(x))",
         )
-        return f"exists({leaves}, x -> {predicate('x')})"
+
+    def keyword_test(self, predicate: Callable[[str], str]) -> str:
+        return f"exists({self.keyword_texts()}, x -> {predicate('x')})"
 
     def spell_keyword(self, text: str) -> str:
         return json.dumps(text, ensure_ascii=False)[1:-1]  # leaves keep their JSON spelling
@@ -197,8 +259,13 @@ class TableFields(Fields):
         return None
 
     def keyword_test(self, predicate: Callable[[str], str]) -> str:
-        texts = [f.name for f in self.schema.fields if isinstance(f.dataType, T.StringType)]
-        return "(" + (" OR ".join(predicate(self.lowered(n)) for n in texts) or "false") + ")"
+        return "(" + (" OR ".join(predicate(self.lowered(n)) for n in self._texts()) or "false") + ")"
+
+    def keyword_texts(self) -> str:
+        return f"array_compact(array({', '.join(map(self.lowered, self._texts()))}))"
+
+    def _texts(self) -> list[str]:
+        return [f.name for f in self.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
 # --- values -------------------------------------------------------------------------------------
@@ -215,18 +282,13 @@ def split_wildcards(value: str) -> list[tuple[str, str]]:
     return pieces
 
 
-def plain_text(value: Any) -> str | None:
-    """The text a value must equal, None when it holds wildcards or is null."""
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return str(value).lower()
-    if not isinstance(value, str):
-        return str(value)
-    pieces = split_wildcards(value)
-    if any(kind != "x" for kind, _ in pieces):
-        return None
-    return pieces[0][1] if pieces else ""
+def literal_pieces(value: str, where: str, literal: bool) -> list[tuple[str, str]]:
+    pieces = ([("x", value)] if value else []) if literal else split_wildcards(value)
+    if where in ("contains", "endswith"):
+        pieces = [("*", ""), *pieces]
+    if where in ("contains", "startswith"):
+        pieces = [*pieces, ("*", "")]
+    return pieces
 
 
 def _text_match(
@@ -235,31 +297,27 @@ def _text_match(
     cased: bool,
     literal: bool,
     spell: Callable[[str], str] = lambda text: text,
-) -> Callable[[str], str]:
-    """Predicate text for a string value; `where` is equals, contains, startswith or endswith."""
-    pieces = ([("x", value)] if value else []) if literal else split_wildcards(value)
-    if where in ("contains", "endswith"):
-        pieces = [("*", ""), *pieces]
-    if where in ("contains", "startswith"):
-        pieces = [*pieces, ("*", "")]
+) -> tuple[str, str | None]:
+    """Option for a string value, see `any_of`; `where` is equals, contains, startswith or endswith."""
+    pieces = literal_pieces(value, where, literal)
     shape = re.sub(r"\*+", "*", "".join(kind for kind, _ in pieces))
     texts = [spell(text if cased else text.lower()) for kind, text in pieces if kind == "x"]
     if shape in ("", "*"):
-        return lambda t: f"{t} IS NOT NULL" if shape else f"{t} = ''"
+        return "{t} IS NOT NULL" if shape else "{t} = ''", None
     calls = {
-        "x": "{t} = {v}",
+        "x": EQUALS,
         "*x*": "contains({t}, {v})",
         "x*": "startswith({t}, {v})",
         "*x": "endswith({t}, {v})",
     }
     if shape in calls:
-        return lambda t: calls[shape].format(t=t, v=sql_text(texts[0]))
+        return calls[shape], texts[0]
     marks = {"*": "%", "?": "_"}
     parts = iter(texts)
     pattern = "".join(
         marks[c] if c in marks else re.sub(r"([%_\\])", r"\\\1", next(parts)) for c in shape
     )
-    return lambda t: f"{t} LIKE {sql_text(pattern)}"
+    return "{t} LIKE {v}", pattern
 
 
 def _with_dashes(value: str) -> list[str]:
@@ -317,8 +375,7 @@ def field_test(fields: Fields, key: str, value: Any) -> str:
 
     joined = " AND " if "all" in mods else " OR "
     tests: list[str] = []
-    anywhere: list[Callable[[str], str]] = []  # tested together, on one value
-    equal: list[str] = []
+    anywhere: list[tuple[str, str | None]] = []  # tested together, on one value
     for v in values:
         if v is None:
             items = fields.elements(name)
@@ -327,7 +384,8 @@ def field_test(fields: Fields, key: str, value: Any) -> str:
             flags = "".join(m for m in ("i", "m", "s") if m in mods)
             pattern = (f"(?{flags})" if flags else "") + str(v)
             fields.regexes.add(pattern)
-            tests.append(fields.test(name, lambda t, p=pattern: f"{t} RLIKE {sql_text(p)}", True))
+            text = fields.literal(pattern)
+            tests.append(fields.test(name, lambda t, p=text: f"{t} RLIKE {p}", True))
         elif "cidr" in mods:
             try:
                 in_network("x", str(v))
@@ -337,41 +395,37 @@ def field_test(fields: Fields, key: str, value: Any) -> str:
         elif any(m in COMPARE for m in mods):
             op = next(COMPARE[m] for m in mods if m in COMPARE)
             try:
-                number = repr(float(v))
+                number = fields.numeral(float(v))
             except (TypeError, ValueError) as exc:
                 raise RuleError(f"{key!r} needs a number, not {v!r}") from exc
-            tests.append(fields.number_test(name, lambda n: f"{n} {op} {number}D"))
+            tests.append(fields.number_test(name, lambda n, x=number: f"{n} {op} {x}"))
         elif "fieldref" in mods:
             other = fields.text(str(v)) if cased else fields.lowered(str(v))
             call = {"equals": "{t} = {o}"}.get(where, where + "({t}, {o})")
-            tests.append(fields.test(name, lambda t: call.format(t=t, o=other), cased))
+            tests.append(fields.test(name, lambda t, o=other: call.format(t=t, o=o), cased))
         else:
-            text = str(v).lower() if isinstance(v, bool) else str(v)
-            spellings, literal = _transformed(text, mods)
-            literal = literal or not isinstance(v, str)
-            options = []
-            for spelling in spellings:
-                exact = spelling if literal else plain_text(spelling)
-                if where == "equals" and exact is not None and "all" not in mods:
-                    equal.append(exact if cased else exact.lower())
-                else:
-                    options.append(_text_match(spelling, where, cased, literal))
-            if options and "all" in mods:
-                tests.append(
-                    fields.test(
-                        name, lambda t, o=options: "(" + " OR ".join(p(t) for p in o) + ")", cased
-                    )
-                )
+            options = _options(v, mods, where, cased)
+            if "all" in mods:
+                tests.append(fields.test(name, fields.any_of(options), cased))
             else:
                 anywhere += options
-    if equal:
-        known = ", ".join(sql_text(e) for e in dict.fromkeys(equal))
-        anywhere.insert(0, lambda t: f"{t} IN ({known})")
     if anywhere:
-        tests.append(fields.test(name, lambda t: "(" + " OR ".join(p(t) for p in anywhere) + ")", cased))
+        tests.append(fields.test(name, fields.any_of(anywhere), cased))
     return "(" + joined.join(f"({t})" for t in tests) + ")"
 
 
+def spellings(value: Any, mods: list[str]) -> tuple[list[str], bool]:
+    """(spellings of a text value after its modifiers, whether they are literal text)."""
+    text = str(value).lower() if isinstance(value, bool) else str(value)
+    texts, literal = _transformed(text, mods)
+    return texts, literal or not isinstance(value, str)
+
+
+def _options(value: Any, mods: list[str], where: str, cased: bool) -> list[tuple[str, str | None]]:
+    texts, literal = spellings(value, mods)
+    return [_text_match(t, where, cased, literal) for t in texts]
+
+
 def selection_test(fields: Fields, body: Any) -> str:
     """Map: all entries. List of maps: any of them. List of words: any word in any text value."""
     if isinstance(body, dict):
@@ -399,14 +453,20 @@ def selection_test(fields: Fields, body: Any) -> str:
 
 def _keyword_test(fields: Fields, words: Any, every: bool) -> str:
     words = words if isinstance(words, list) else [words]
-    tests = [
-        fields.keyword_test(_text_match(str(w), "contains", False, False, fields.spell_keyword))
-        for w in words
-    ]
-    return "(" + (" AND " if every else " OR ").join(tests) + ")"
+    options = [_text_match(str(w), "contains", False, False, fields.spell_keyword) for w in words]
+    if not every:
+        return fields.keyword_test(fields.any_of(options))
+    return "(" + " AND ".join(fields.keyword_test(fields.any_of([o])) for o in options) + ")"
+
+
+CONDITION = re.compile(r"(?i)\b(all|any|\d+)\s+of\s+([\w*.-]+)|[\w.-]+")
 
 
-_CONDITION = re.compile(r"(?i)\b(all|any|\d+)\s+of\s+([\w*.-]+)|[\w.-]+")
+def named_selections(selections: dict, pattern: str) -> list[str]:
+    """Names of the selections that `1 of pattern` and its like mean."""
+    if pattern.lower() == "them":
+        return [n for n in selections if not n.startswith("_")]
+    return [n for n in selections if fnmatch.fnmatchcase(n, pattern)]
 
 
 def condition_test(fields: Fields, detection: dict) -> str:
@@ -422,10 +482,7 @@ def condition_test(fields: Fields, detection: dict) -> str:
         return compiled[name]
 
     def group(count: str, pattern: str) -> str:
-        if pattern.lower() == "them":
-            names = [n for n in selections if not n.startswith("_")]
-        else:
-            names = [n for n in selections if fnmatch.fnmatchcase(n, pattern)]
+        names = named_selections(selections, pattern)
         if not names:
             raise RuleError(f"no selection matches {pattern!r}")
         if count.lower() == "all":
@@ -443,10 +500,10 @@ def condition_test(fields: Fields, detection: dict) -> str:
     conditions = detection["condition"]
     texts = []
     for condition in conditions if isinstance(conditions, list) else [conditions]:
-        rest = _CONDITION.sub("", condition)
+        rest = CONDITION.sub("", condition)
         if rest.strip("() \t\r\n"):
             raise RuleError(f"unsupported condition {condition!r}")
-        texts.append("(" + _CONDITION.sub(part, condition) + ")")
+        texts.append("(" + CONDITION.sub(part, condition) + ")")
     return " OR ".join(texts)
 
 
@@ -456,20 +513,3 @@ def rule_test(fields: Fields, rule: Rule) -> str:
         return condition_test(fields, rule.detection)
     except RuleError as exc:
         raise RuleError(f"rule {rule.id}: {exc}") from exc
-
-
-def equality_choices(rule: Rule, limit: int = 1000) -> dict[str, list[str]] | None:
-    """Per field the texts it may equal, for a rule that is just that; None for any other rule.
-
-    Rules with more than `limit` combinations are left to the predicate form.
-    """
-    body = rule.detection.get(str(rule.detection["condition"]).strip())
-    if not isinstance(body, dict) or not body:
-        return None
-    choices: dict[str, list[str]] = {}
-    for key, value in sorted(body.items()):
-        texts = [plain_text(v) for v in (value if isinstance(value, list) else [value])]
-        if not key or "|" in key or None in texts or not texts:
-            return None
-        choices[key] = list(dict.fromkeys(t.lower() for t in texts))
-    return choices if math.prod(map(len, choices.values())) <= limit else None

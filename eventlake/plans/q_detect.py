@@ -27,7 +27,7 @@ from eventlake.operators.rules import (
     switch_rules,
 )
 from eventlake.plans.registry import query
-from eventlake.plans.sample_rules import EVENT_RULES, HITS, equality_rules
+from eventlake.plans.sample_rules import EVENT_RULES, HITS, equality_rules, threshold_rules
 from eventlake.plans.tables import EV, model_events, table, typed_events
 from eventlake.functions.variants import get, strict_string
 
@@ -312,7 +312,7 @@ def detect_cidr6(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT event_id, 'deep' FROM ev WHERE k > 95""",
 )
 def detect_nested_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality on arrays goes through the hash join here, with one hit per event and rule."""
+    """Equality on arrays goes through the rule index here, with one hit per event and rule."""
     users = F.array(*[F.struct((F.col("user_id") + i).alias("uid")) for i in (0, 1)])
     ev = typed_events(spark, sf_dir).select(
         F.col("event_id"),
@@ -326,7 +326,7 @@ def detect_nested_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule("deep", sel={"a.b.k|gt": 95}),
     ]
     events = text_events(ev, "event_id", "tags", "records", "a")
-    return match_rules(prepare_events(events), rules, strategy="join")
+    return match_rules(prepare_events(events), rules, strategy="index")
 
 
 @query(
@@ -561,3 +561,30 @@ def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     switched = switch_rules(part_rules(spark, sf_dir), ["p1", "p3"], True)
     return switched.groupBy("enabled").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "detect_2000_predicate_rules",
+    f"""WITH {EV} SELECT event_id, 't' || i AS rule_id FROM ev JOIN range(2000) r(i)
+        ON event_type = (['click', 'error', 'purchase', 'signup', 'view'])[i % 5 + 1] AND value > 100 + i AND contains(props, CAST(i % 10 AS VARCHAR))""",
+)
+def detect_2000_predicate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules that are no plain equalities, through the rule index."""
+    return match_rules(prepare_table(typed_events(spark, sf_dir)), threshold_rules(2000), keep=["event_id"])
+
+
+def page_patterns(count: int) -> list[str]:
+    """Patterns over addresses; most hold a literal, every fiftieth none."""
+    tongues = ["en", "de", "fr", "es"]
+    return [f"[{i % 10}]{{2}}" if i % 50 == 7 else f"(?i)/{tongues[i % 4]}/{i}(\\D|$)" for i in range(count)]
+
+
+@query(
+    "detect_1000_patterns",
+    """SELECT page_id, 'p' || i AS rule_id FROM pages JOIN range(1000) r(i) ON regexp_matches(url,
+       CASE WHEN i % 50 = 7 THEN '[' || (i % 10) || ']{2}' ELSE '(?i)/' || (['en', 'de', 'fr', 'es'])[i % 4 + 1] || '/' || i || '(\D|$)' END)""",
+)
+def detect_1000_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular expressions found by the literals that their matches must hold; those without one are tried on every event."""
+    rules = [rule(f"p{i}", sel={"url|re": p}) for i, p in enumerate(page_patterns(1000))]
+    return match_rules(prepare_table(table(spark, sf_dir, "pages")), rules, keep=["page_id"])

@@ -4,7 +4,8 @@ import random
 import pytest
 
 from eventlake.operators.detect import check_regexes, detect, match_rules, prepare_events, prepare_table
-from eventlake.operators.predicates import _encoded, _with_dashes, equality_choices, split_wildcards
+from eventlake.operators.predicates import BodyFields, _encoded, _with_dashes, split_wildcards
+from eventlake.operators.ruleindex import anchors_of
 from eventlake.operators.rules import (
     RuleError,
     get_rule,
@@ -199,14 +200,14 @@ def test_lookup_equals_predicates(events):
         sel = {k: rng.sample(words, rng.randrange(1, 4)) for k in rng.choice([("f",), ("g",), ("f", "g")])}
         rules.append(rule(rule_id=f"r{i}", sel=sel, logsource={"product": "p1"} if i % 3 == 0 else None))
     rules.append(rule(rule_id="text", sel={"f|contains": "a"}))
-    assert all(equality_choices(r) for r in rules[:-1])
+    assert set(anchors_of(BodyFields(), rules)) == {r.id for r in rules[:-1]}  # one character is no anchor
     df = events(*rows)
     by = {
         s: sorted((h.event_id, h.rule_id) for h in match_rules(prepare_events(df), rules, strategy=s).collect())
-        for s in ("expr", "join")
+        for s in ("expr", "index")
     }
-    assert by["expr"] == by["join"] and len(by["expr"]) > 100
-    assert len(set(by["join"])) == len(by["join"])
+    assert by["expr"] == by["index"] and len(by["expr"]) > 100
+    assert len(set(by["index"])) == len(by["index"])
 
 
 def test_table_reads_only_named_columns(spark, tmp_path):
