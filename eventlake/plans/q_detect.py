@@ -581,7 +581,7 @@ def page_patterns(count: int) -> list[str]:
 
 @query(
     "detect_1000_patterns",
-    """SELECT page_id, 'p' || i AS rule_id FROM pages JOIN range(1000) r(i) ON regexp_matches(url,
+    r"""SELECT page_id, 'p' || i AS rule_id FROM pages JOIN range(1000) r(i) ON regexp_matches(url,
        CASE WHEN i % 50 = 7 THEN '[' || (i % 10) || ']{2}' ELSE '(?i)/' || (['en', 'de', 'fr', 'es'])[i % 4 + 1] || '/' || i || '(\D|$)' END)""",
 )
 def detect_1000_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

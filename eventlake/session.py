@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # States of streams grow with their keys: on disk, with changes shipped to the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # The JVM does not compile methods above 8000 bytes: beyond that, split code beats fused code.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
@@ -42,6 +47,20 @@ def local_session(cpus: int = 8, **extra: str) -> SparkSession:
     return configure(spark)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context, as `--py-files` would."""
+    context = spark.sparkContext
+    if getattr(context, "_eventlake_sent", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="eventlake-code-")) / "eventlake.zip"  # served by the driver
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._eventlake_sent = True
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for a written table, shared by all executors.
 

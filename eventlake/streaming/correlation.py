@@ -17,13 +17,17 @@ def windowed_counts(hits: DataFrame, spec: Correlation, delay: str, time: str =
     """
     if spec.kind not in ("event_count", "value_count"):
         raise ValueError(f"{spec.kind} is not a count")
-    mine = hits.where(F.col("rule_id").isin(list(spec.rules))).withWatermark(time, delay)
+    # Hits of other rules move the watermark too: a condition on the time is not pushed below it.
+    mine = F.col("rule_id").isin(list(spec.rules))
+    if spec.kind == "value_count":
+        mine = mine & F.col(spec.field).isNotNull()
+    mine = hits.withWatermark(time, delay).where(F.when(F.col(time).isNotNull(), mine))
     window = F.window(time, f"{spec.span_seconds} seconds")
     if spec.kind == "event_count":
         counted = mine.groupBy(*spec.group_by, window).agg(F.count(F.lit(1)).alias("n"))
     else:
         # Two counting steps instead of a set per group: a hot group stays spread over its values.
-        each = mine.where(F.col(spec.field).isNotNull()).groupBy(*spec.group_by, spec.field, window)
+        each = mine.groupBy(*spec.group_by, spec.field, window)
         again = F.window(F.window_time("window"), f"{spec.span_seconds} seconds")
         counted = each.agg(F.count(F.lit(1)).alias("__seen")).groupBy(*spec.group_by, again).agg(
             F.count(F.lit(1)).alias("n")

@@ -1,10 +1,13 @@
 import json
+import random
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventlake.functions.variants import get
 from eventlake.model import class_path
-from eventlake.operators.correlate import correlation_from_dict
+from eventlake.operators.correlate import correlate, correlation_from_dict
 from eventlake.operators.envelope import accepted
 from eventlake.operators.normalise import remap
 from eventlake.operators.rules import rule_from_dict
@@ -12,7 +15,9 @@ from eventlake.session import scratch_dir
 from eventlake.sources.landing import read_pushed
 from eventlake.sources.store import read_class, read_findings, read_tree
 from eventlake.streaming.correlation import windowed_counts
+from eventlake.plans.q_stream import run_out
 from eventlake.streaming.ingest import file_sink, start_ingest, without_repeats
+from eventlake.streaming.sequence import Chain, stream_sequences
 
 RULES = [rule_from_dict({"id": "odd", "level": "low", "title": "odd", "detection": {"s": {"n|gte": 3}, "condition": "s"}})]
 
@@ -87,3 +92,30 @@ def test_windowed_counts(spark, tmp_path):
         last = spark.read.parquet(src).agg(F.max("time") - F.expr("INTERVAL 10 SECONDS")).first()[0]
         expected = {(r.g, r.w.start, r.n) for r in want.collect() if r.n >= low and r.w.end <= last}
         assert {(r.g, r.start, r.n) for r in spark.table(name).collect()} == expected and expected
+
+
+@pytest.mark.parametrize("kind", ["temporal", "temporal_ordered"])
+def test_sequences_over_several_batches(spark, tmp_path, kind):
+    """Hits in three files, late ones within the delay among them, and a restart between the files: as in batch."""
+    rng = random.Random(4)
+    t0 = datetime(2024, 1, 1)
+    hits = [(rng.choice(["r1", "r2", "r3", "r9"]), rng.choice(["a", "a", "b", None]), t0 + timedelta(seconds=rng.randrange(1500) / 2)) for _ in range(300)]
+    hits.sort(key=lambda h: h[2] + timedelta(seconds=rng.randrange(25)))  # out of order by less than the delay
+    schema = "rule_id string, g string, time timestamp"
+    src, out, mark = str(tmp_path / "hits"), str(tmp_path / "out"), str(tmp_path / "mark")
+    body = {"type": kind, "rules": ["r1", "r2", "r3", "r1"], "group-by": ["g"], "timespan": "45s"}
+    spec = correlation_from_dict({"id": kind, "correlation": body})
+    for part in (hits[:100], hits[100:200], hits[200:], [("end", None, t0 + timedelta(days=9))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        run_out(spark, stream_sequences(stream, spec, "30 seconds"), out, mark)
+    got = [tuple(r) for r in spark.read.parquet(out).collect()]
+    want = {tuple(r) for r in correlate(spark.createDataFrame(hits, schema), spec).collect()}
+    assert set(got) == want and len(got) == len(want) > 5
+
+
+def test_chain_of_one_group():
+    chain = Chain([[0], [1]], 2, 10, True)
+    reached = [None, None]
+    steps = [(1, {0}), (5, {1}), (11, {1}), (12, {1}), (20, {0, 1}), (21, {1})]
+    assert [chain.at(reached, us, seen) for us, seen in steps] == [False, True, True, False, True, True]
