@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlake.sources.manifest import PACKED, Folder
 from eventlake.model import CATEGORIES, CLASS_SCHEMAS, FINDING_CLASS_UID, FINDING_SCHEMA, PARTITIONS, category_of, class_path
 
 
@@ -30,13 +31,34 @@ def read_tree(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.parquet(path)
 
 
+def _read_paths(spark: SparkSession, root: str, schema: T.StructType, paths: list[str], name: str | None = None) -> DataFrame:
+    """Rows of files or folders below one kind of place, with `batch_id` and `event_date`; `name` adds the file's name."""
+    top = f"{root}/{PACKED}" if paths[0].startswith(f"{root}/{PACKED}/") else root
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", top).parquet(*paths)
+    return rows.select(*schema.names, *([F.col("_metadata.file_name").alias(name)] if name else []))
+
+
+def read_files(spark: SparkSession, root: str, class_uid: int, files: list[str], schemas: Schemas | None = None, name: str | None = None) -> DataFrame:
+    """Some files of a class, named relative to its folder `root`."""
+    schema = T.StructType([*_schema(class_uid, schemas).fields, *PARTITIONS.fields])
+    packed = [f"{root}/{f}" for f in files if f.startswith(PACKED)]
+    plain = [f"{root}/{f}" for f in files if not f.startswith(PACKED)]
+    return reduce(DataFrame.unionByName, [_read_paths(spark, root, schema, paths, name) for paths in (plain, packed) if paths])
+
+
 def read_class(spark: SparkSession, base: str, class_uid: int, schemas: Schemas | None = None) -> DataFrame:
     """One stored class with its partition columns; a class never written is an empty table, not an error.
 
-    A condition on `event_date` leaves out the folders of all other dates.
+    A condition on `event_date` leaves out the folders of all other dates. Where the class was compacted, the
+    files are those that its newest snapshot lists, and the batches written since.
     """
     schema = T.StructType([*_schema(class_uid, schemas).fields, *PARTITIONS.fields])
     path = f"{base}/{class_path(class_uid)}"
+    folder = Folder(spark, path)
+    snapshot = folder.snapshot()
+    if snapshot is not None:
+        parts = [_read_paths(spark, path, schema, paths) for paths in folder.live_paths(snapshot) if paths]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     try:
         return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", path).parquet(path)
     except AnalysisException as exc:
