@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlake.model import CLASS_SCHEMAS, class_path
 from eventlake.operators.coerce import coerce
+from eventlake.operators.compact import compact, expire
 from eventlake.operators.route import export, route, store_batch, store_findings
 from eventlake.plans.q_detect import sample_findings
 from eventlake.plans.q_envelope import landed_records
@@ -274,3 +277,33 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = df.agg(count).select(F.lit(name).alias("part"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(
+    "store_compacted",
+    f"""WITH {EV}, stage AS (SELECT unnest(['before', 'during', 'after', 'expired']) AS stage)
+        SELECT stage, CAST(make_timestamp(time_ms * 1000) AS DATE) AS day, count(*) AS n, CAST(sum(time_ms) AS BIGINT) AS total FROM ev, stage
+        WHERE event_type = 'purchase' GROUP BY stage, day""",
+)
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class of four batches, counted before, during and after its compaction, and once the old files are gone."""
+    base, aside = scratch_dir(spark, "store"), scratch_dir(spark, "aside")
+    events = model_events(spark, sf_dir).where("try_variant_get(data, '$.class_uid', 'int') = 6003")
+    for batch in range(4):
+        store_batch(events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch), base, aside, batch_id=batch)
+    counts = []
+
+    def count(stage: str) -> None:
+        stored = read_class(spark, base, 6003)
+        total = F.sum(F.unix_millis("time")).alias("total")
+        rows = stored.groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), total).withColumn("stage", F.lit(stage))
+        path = scratch_dir(spark, "count")
+        rows.write.parquet(path)
+        counts.append(spark.read.parquet(path))
+
+    count("before")
+    compact(spark, base, 6003, before_commit=lambda: count("during"))
+    count("after")
+    expire(spark, base, 6003, grace_seconds=0)
+    count("expired")
+    return reduce(DataFrame.union, counts).select("stage", "day", "n", "total")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.functions.prune import prune_json
+from eventlake.model import FINDING_CLASS_UID
+from eventlake.operators.compact import compact, expire
+from eventlake.operators.idindex import fetch_indexed, index_batch, merge_index
 from eventlake.operators.route import store_batch, store_findings
 from eventlake.operators.triage import (
     action_payloads,
@@ -24,7 +29,7 @@ from eventlake.plans.registry import query
 from eventlake.plans.sample_rules import HITS
 from eventlake.plans.tables import EV, model_events, table, typed_events, with_view
 from eventlake.session import scratch_dir
-from eventlake.sources.store import register_views
+from eventlake.sources.store import read_findings, register_views
 
 _UID = "sha256(id || chr(1) || rule_id)"
 _ALERTS = f"SELECT id AS uid, time_ms, title, level AS severity, {_UID} AS finding_uid FROM hits"
@@ -72,8 +77,6 @@ def alert_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "store")
     found = sample_findings(spark, sf_dir)
     store_findings(found, base)
-    from eventlake.sources.store import read_findings
-
     stored = read_findings(spark, base)
     uid = stored.where("rule_id = 'r1'").agg(F.min("metadata.uid").alias("u")).first()["u"]
     row = fetch_alert(stored, uid or "")
@@ -240,3 +243,33 @@ def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = typed_events(spark, sf_dir).withColumnRenamed("ts", "time")
     newest = events.agg(F.max("time")).first()[0]
     return recent_events(events.where("class_uid = 3001"), now=newest, then=("event_id",)).select("event_id")
+
+
+@query(
+    "alert_fetch_indexed",
+    f"""WITH {EV}, {HITS}, u AS (SELECT DISTINCT unnest([low, high]) AS uid FROM (SELECT min(id) AS low, max(id) AS high FROM hits)),
+        r AS (SELECT h.*, row_number() OVER (PARTITION BY id ORDER BY {_UID}) AS nth FROM hits h JOIN u ON u.uid = h.id)
+        SELECT id AS uid, rule_id, title, level AS severity, 1 AS index_files, 1 AS finding_files FROM r WHERE nth = 1""",
+)
+def alert_fetch_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups over the id index of findings that came in batches and were compacted; with the files opened."""
+    base = scratch_dir(spark, "store")
+    found = sample_findings(spark, sf_dir)
+    for batch in range(3):
+        store_findings(found.where(F.pmod(F.xxhash64("metadata.uid"), F.lit(3)) == batch), base, batch)
+        index_batch(spark, base, batch)
+    merge_index(spark, base)
+    compact(spark, base, FINDING_CLASS_UID)
+    expire(spark, base, FINDING_CLASS_UID, grace_seconds=0)
+    ends = read_findings(spark, base).agg(F.min("metadata.uid").alias("low"), F.max("metadata.uid").alias("high")).first()
+    at = lambda path: F.get_json_object("alert", "$." + path)
+    rows = []
+    for uid in sorted({ends["low"] or "", ends["high"] or ""}):
+        row, opened = fetch_indexed(spark, base, uid)
+        rows.append(
+            row.select(
+                "uid", at("rule_id").alias("rule_id"), at("finding_info.title").alias("title"), at("severity").alias("severity"),
+                F.lit(opened.index_files).alias("index_files"), F.lit(len(opened.finding_files)).alias("finding_files"),
+            )
+        )
+    return reduce(DataFrame.union, rows)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventlake.operators.detect import detect, event_time, usable_rules
 from eventlake.operators.envelope import accepted
+from eventlake.operators.idindex import index_batch
 from eventlake.operators.route import store, store_findings
 from eventlake.operators.rules import Rule
 
@@ -68,6 +69,7 @@ def process_batch(
         if sink:  # matched once for both
             findings = findings.persist(StorageLevel.MEMORY_AND_DISK)
         store_findings(findings.drop("event_metadata"), base, batch_id)
+        index_batch(events.sparkSession, base, batch_id)
         if sink:
             sink(findings, batch_id)
             findings.unpersist()
