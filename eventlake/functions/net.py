@@ -46,10 +46,20 @@ def ipv6_hex(text: str) -> str:
     return f"transform(array(lower({plain})), p -> {digits})[0]"
 
 
-def in_network(text: str, cidr: str) -> str:
-    """Boolean SQL: the address text lies in the network. Host bits of the network may be set."""
+def digits(text: str, version: int) -> str:
+    """SQL of an address as 8 or 32 lower-case hex digits, NULL for other text."""
+    return f"lower(lpad(hex({ipv4_number(text)}), 8, '0'))" if version == 4 else ipv6_hex(text)
+
+
+def prefix(hexed: str, bits: str) -> str:
+    """SQL of the first `bits` bits of hex digits, as a text that is equal for equal bits."""
+    rest = f"shiftright(CAST(conv(substring({hexed}, CAST({bits} DIV 4 AS INT) + 1, 1), 16, 10) AS INT), 4 - CAST({bits} % 4 AS INT))"
+    return f"concat(left({hexed}, CAST({bits} DIV 4 AS INT)), CASE WHEN {bits} % 4 > 0 THEN concat('/', {rest}) ELSE '' END)"
+
+
+def network_prefix(cidr: str) -> tuple[int, int, str]:
+    """(version, bits, the prefix as `prefix` writes it) of a network."""
     net = ipaddress.ip_network(cidr, strict=False)
-    low, high = int(net.network_address), int(net.broadcast_address)
-    if net.version == 4:
-        return f"({ipv4_number(text)}) BETWEEN {low} AND {high}"
-    return f"({ipv6_hex(text)}) BETWEEN '{low:032x}' AND '{high:032x}'"
+    hexed = f"{int(net.network_address):0{8 if net.version == 4 else 32}x}"
+    whole, rest = divmod(net.prefixlen, 4)
+    return net.version, net.prefixlen, hexed[:whole] + (f"/{int(hexed[whole], 16) >> (4 - rest)}" if rest else "")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import fnmatch
+import ipaddress
 import itertools
 import json
 import re
@@ -17,7 +18,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from eventlake.functions.net import in_network
+from eventlake.functions.net import ipv4_number, ipv6_hex
 from eventlake.functions.variants import json_path
 from eventlake.operators.rules import Rule, RuleError
 
@@ -145,6 +146,16 @@ class Fields:
         each = f"exists({items}, x -> {predicate(one)})"
         return f"if({items} IS NULL, {predicate(self.number(name))}, {each})"
 
+    def address_test(self, name: str, version: int, low: str, high: str) -> str:
+        """The value, or an element, is an address between two SQL values; the value is parsed once per row."""
+        parse = ipv4_number if version == 4 else ipv6_hex
+        parsed = self._column(f"v{version}", name, f"transform(array({self.text_sql(name)}), t -> {parse('t')})[0]")
+        one = f"{parsed} BETWEEN {low} AND {high}"
+        items = self.elements(name)
+        if items is None:
+            return one
+        return f"if({items} IS NULL, {one}, exists({items}, x -> ({parse('x')}) BETWEEN {low} AND {high}))"
+
     def numbers(self, name: str) -> str:
         """Array of the values that are numbers, NULLs among them."""
         items = self.elements(name)
@@ -388,10 +399,12 @@ def field_test(fields: Fields, key: str, value: Any) -> str:
             tests.append(fields.test(name, lambda t, p=text: f"{t} RLIKE {p}", True))
         elif "cidr" in mods:
             try:
-                in_network("x", str(v))
+                net = ipaddress.ip_network(str(v), strict=False)
             except ValueError as exc:
                 raise RuleError(f"bad network {v!r} in {key!r}") from exc
-            tests.append(fields.test(name, lambda t, n=str(v): in_network(t, n), True))
+            ends = [int(net.network_address), int(net.broadcast_address)]
+            low, high = [fields.numeral(float(e)) if net.version == 4 else fields.literal(f"{e:032x}") for e in ends]
+            tests.append(fields.address_test(name, net.version, low, high))
         elif any(m in COMPARE for m in mods):
             op = next(COMPARE[m] for m in mods if m in COMPARE)
             try:

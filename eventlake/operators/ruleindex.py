@@ -2,7 +2,7 @@
 
 Rules that differ only in their constants share a shape, one predicate over columns of constants. An
 anchor is something an event must show for a rule to match: a field equal to a text, a field that holds
-a run of `GRAM` characters, a number within a range, or two of these together. Each rule gets one set of
+a run of `GRAM` characters, a number within a range, an address within a network, or two of these together. Each rule gets one set of
 anchors of which every match shows at least one, chosen so that few other rules share them. Events emit
 the keys of what they show, a join finds the rules with such an anchor, and the shape's predicate
 verifies the pair. The plan grows with the shapes and the fields, not with the rules; an event meets
@@ -27,6 +27,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlake.functions.net import digits, network_prefix, prefix
 from eventlake.operators.patterns import required_runs
 from eventlake.operators.predicates import (
     COMPARE,
@@ -57,7 +58,7 @@ class Mark(NamedTuple):
     """Something an event shows in a field: its text, a run of its characters, or a range its number lies in."""
 
     name: str
-    kind: str  # text, gram or node
+    kind: str  # text, gram, node or net
     text: str = ""
     level: int = 0
     at: int = 0
@@ -172,7 +173,7 @@ class _Needs:
     def entry(self, key: str, value: Any) -> Anchors | None:
         name, *mods = key.split("|")
         values = value if isinstance(value, list) else [value]
-        if {"exists", "cidr", "fieldref"} & set(mods) or None in values or not values:
+        if {"exists", "fieldref"} & set(mods) or None in values or not values:
             return None
         where = next((m for m in ("contains", "startswith", "endswith") if m in mods), "equals")
         compare = next((m for m in mods if m in COMPARE), None)
@@ -181,6 +182,10 @@ class _Needs:
             if "re" in mods:
                 found.append(self._runs(name, [r for run in required_runs(str(v)) for r in _plain_runs(run)]))
                 continue
+            if "cidr" in mods:
+                version, bits, start = network_prefix(str(v))
+                found.append(frozenset([(Mark(name, "net", start, version, bits),)]))
+                continue
             if compare:
                 found.append(self._range(name, compare, v))
                 continue
@@ -271,6 +276,7 @@ class RuleIndex:
     slots: dict[tuple[str, str], int] = field(default_factory=dict)
     used: dict[tuple[int, ...], None] = field(default_factory=dict)  # slots of the anchors, alone or in pairs
     single: dict[int, bool] = field(default_factory=dict)  # whether an event has at most one mark of a slot
+    nets: dict[str, set[tuple[int, int]]] = field(default_factory=dict)  # (version, prefix length) in use
     size: int = 0
 
     SCHEMA = (
@@ -289,6 +295,9 @@ class RuleIndex:
         shape = self.shapes.setdefault(text, len(self.shapes))
         marks = []
         for anchor in sorted(anchors):
+            for m in anchor:
+                if m.kind == "net":
+                    self.nets.setdefault(m.name, set()).add((m.level, m.at))
             marks.append([(self.slots.setdefault((m.name, m.kind), len(self.slots)), *m[1:]) for m in anchor])
             self.used[tuple(m[0] for m in marks[-1])] = None
         self.rows.append((len(self.rows), shape, constants.texts, constants.numbers, marks, rule.id))
@@ -305,7 +314,7 @@ class RuleIndex:
         letters = ", ".join(f"substring(m.text, {i + 1}, 1)" for i in range(GRAM))
         mark = (
             f"CASE m.kind WHEN 'text' THEN xxhash64(m.slot, m.text) WHEN 'gram' THEN xxhash64(m.slot, {letters}) "
-            "ELSE xxhash64(m.slot, m.level, m.at) END"
+            "WHEN 'net' THEN xxhash64(m.slot, m.level, m.at, m.text) ELSE xxhash64(m.slot, m.level, m.at) END"
         )
         pair = "CASE WHEN size(h) = 1 THEN h[0] ELSE xxhash64(h[0], h[1]) END"
         keys = f"array_distinct(transform(transform(__a, a -> transform(a, m -> {mark})), h -> {pair}))"
@@ -333,6 +342,16 @@ class RuleIndex:
                     sources[f"__r{slot}"] = f"transform({known_values}, v -> {rank.format(v='v')})"
                     marks[f"__m{slot}"] = f"array_distinct(flatten(transform(__r{slot}, r -> array({each.format(r='r')}))))"
                 continue
+            if kind == "net":
+                # One key for each prefix length in use, whatever the number of networks.
+                texts = f"array({fields.text(name)})" if items is None else f"coalesce({items}, array({fields.text(name)}))"
+                lists = []
+                for version in sorted({v for v, _ in self.nets[name]}):
+                    each = ", ".join(f"xxhash64({slot}, {version}, {bits}, {prefix('d', str(bits))})" for v, bits in sorted(self.nets[name]) if v == version)
+                    hexed = f"filter(transform({texts}, x -> {digits('x', version)}), d -> d IS NOT NULL)"
+                    lists.append(f"flatten(transform({hexed}, d -> array({each})))")
+                marks[f"__m{slot}"] = f"array_distinct(concat({', '.join(lists)}))"
+                continue
             alone = "CAST(NULL AS STRING)" if name == KEYWORDS else fields.lowered(name)
             values = items if name == KEYWORDS or items is None else f"transform({items}, x -> lower(x))"
             if kind == "text":

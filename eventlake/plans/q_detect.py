@@ -14,6 +14,7 @@ from eventlake.operators.detect import (
     prepare_table,
 )
 from eventlake.operators.envelope import EMPTY_METADATA
+from eventlake.operators.netjoin import longest_network
 from eventlake.operators.normalise import tag_logsource
 from eventlake.operators.rules import (
     RULE_SCHEMA,
@@ -588,3 +589,47 @@ def detect_1000_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regular expressions found by the literals that their matches must hold; those without one are tried on every event."""
     rules = [rule(f"p{i}", sel={"url|re": p}) for i, p in enumerate(page_patterns(1000))]
     return match_rules(prepare_table(table(spark, sf_dir, "pages")), rules, keep=["page_id"])
+
+
+# Addresses and networks from the same numbers in both engines: IPv4 as one number, IPv6 by its upper 64 bits.
+_NETS = """four AS (SELECT i AS network_id, (10 << 24) + ((i % 200) << 16) + (((i * 7) % 100) << 8) + (i * 13) % 256 AS net,
+        ([8, 16, 20, 24, 27, 32])[i % 6 + 1] AS bits FROM range(3000) r(i)),
+    six AS (SELECT 3000 + i AS network_id, 536939960 * 4294967296 + ((i % 150) << 16) + (i * 3) % 100 AS net, ([32, 48, 56, 62, 64])[i % 5 + 1] AS bits FROM range(1000) r(i)),
+    a AS (SELECT event_id, event_type = 'click' AS is6, (10 << 24) + ((user_id % 200) << 16) + (k << 8) + event_id % 250 AS n4,
+        536939960 * 4294967296 + (user_id << 16) + k AS n6 FROM ev),
+    m AS (SELECT event_id, network_id, bits FROM a JOIN four ON NOT is6 AND (n4 >> (32 - bits)) = (net >> (32 - bits))
+        UNION ALL SELECT event_id, network_id, bits FROM a JOIN six ON is6 AND (n6 >> (64 - bits)) = (net >> (64 - bits)))"""
+
+
+def addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    four = F.concat_ws(".", F.lit("10"), F.col("user_id") % 200, F.col("k"), F.col("event_id") % 250)
+    six = F.concat(F.lit("2001:db8:"), F.hex("user_id"), F.lit(":"), F.hex("k"), F.lit("::"), F.hex(F.col("event_id") % 65536))
+    return typed_events(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "click", six).otherwise(four).alias("ip"))
+
+
+def networks(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    four = F.concat_ws(".", F.lit("10"), i % 200, (i * 7) % 100, (i * 13) % 256)
+    bits4 = F.element_at(F.array(*map(F.lit, (8, 16, 20, 24, 27, 32))), (i % 6 + 1).cast("int"))
+    six = F.concat(F.lit("2001:db8:"), F.hex(i % 150), F.lit(":"), F.hex((i * 3) % 100), F.lit("::"))
+    bits6 = F.element_at(F.array(*map(F.lit, (32, 48, 56, 62, 64))), (i % 5 + 1).cast("int"))
+    return (
+        spark.range(3000).select(i.alias("network_id"), F.concat(four, F.lit("/"), bits4).alias("cidr"))
+        .union(spark.range(1000).select((i + 3000).alias("network_id"), F.concat(six, F.lit("/"), bits6).alias("cidr")))
+    )
+
+
+@query(
+    "detect_networks",
+    f"""WITH {EV}, {_NETS} SELECT event_id, network_id, bits FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, network_id) AS nth FROM m) WHERE nth = 1""",
+)
+def detect_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's longest matching network of four thousand, IPv4 and IPv6."""
+    return longest_network(addressed(spark, sf_dir), ["event_id"], "ip", networks(spark), "network_id")
+
+
+@query("detect_network_rules", f"""WITH {EV}, {_NETS} SELECT event_id, 'n' || network_id AS rule_id FROM m WHERE network_id % 3 = 1""")
+def detect_network_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirteen hundred rules with a network each, through the rule index."""
+    rules = [rule(f"n{r['network_id']}", sel={"ip|cidr": r["cidr"]}) for r in networks(spark).where("network_id % 3 = 1").collect()]  # a fixed set of rules
+    return match_rules(prepare_table(addressed(spark, sf_dir)), rules, keep=["event_id"])
