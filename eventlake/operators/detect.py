@@ -26,7 +26,7 @@ from eventlake.operators.predicates import (
     sql_text,
 )
 from eventlake.operators.ruleindex import RuleIndex, anchors_of, cut_points, indexed_hits
-from eventlake.operators.rules import Rule, RuleError
+from eventlake.operators.rules import Rule, RuleError, merge_rules, rules_of_table
 
 PARTS = ("product", "service", "category")
 
@@ -105,7 +105,7 @@ def usable_rules(events: DataFrame, rules: Iterable[Rule]) -> tuple[list[Rule],
     """
     good, refused, patterns = [], {}, {}
     for rule in rules:
-        fields = prepare_events(events).fields
+        fields = BodyFields()
         try:
             rule_test(fields, rule)
         except RuleError as exc:
@@ -126,6 +126,20 @@ def usable_rules(events: DataFrame, rules: Iterable[Rule]) -> tuple[list[Rule],
         return good, refused
 
 
+def add_rules(table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule table with the new rules, refused ones as id and reason).
+
+    A rule is added when it compiles and its id is free. The new rules pass through the driver, where rules
+    are compiled; the table stays where it is.
+    """
+    spark = table.sparkSession
+    _, bad = usable_rules(new, rules_of_table(new.where("id IS NOT NULL")))
+    reasons = spark.createDataFrame(list(bad.items()), "id string, reason string")
+    merged, conflicts = merge_rules(table, new.join(F.broadcast(reasons), "id", "left_anti"))
+    taken = conflicts.select("id", F.when(F.col("id").isNull(), "no id").otherwise("id is taken").alias("reason"))
+    return merged, reasons.union(taken)
+
+
 def match_rules(
     prepared: Prepared,
     rules: Iterable[Rule],

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlake.model import CLASS_SCHEMAS
-from eventlake.operators.detect import detect
+from eventlake.operators.detect import add_rules, detect, match_rules, prepare_table
 from eventlake.operators.route import store_batch, store_findings
+from eventlake.operators.rules import rule_table, rules_of_table
 from eventlake.operators.triage import get_alerts
 from eventlake.plans.adhoc import run_sql
 from eventlake.plans.q_detect import rule
@@ -96,18 +99,26 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(model_events(spark, sf_dir), [rule("low", level="low", sel={"k|lt": 10})])
 
 
-@query("alert_single_file", f"WITH {EV} SELECT rule_id, count(*) AS n FROM (SELECT 'low' AS rule_id FROM ev WHERE k < 10) GROUP BY rule_id")
+@query(
+    "alert_single_file",
+    f"""WITH {EV}, low AS (SELECT CAST(make_timestamp(time_ms * 1000) AS DATE) AS day FROM ev WHERE k < 10)
+        SELECT day, day = (SELECT max(day) FROM low) AS by_file, count(*) AS n FROM low GROUP BY day""",
+)
 def alert_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings read by the names of their files, which rows of the whole table give."""
+    """The findings of the last date read file by file, by names that rows of the table give; those of the other dates as a table."""
     base = scratch_dir(spark, "store")
-    store_findings(_sample(spark, sf_dir).coalesce(2), base)
-    names = read_findings(spark, base).select(file_column(base).alias("f")).distinct().collect()  # two files at most
-    parts = [read_findings(spark, base, r["f"]) for r in names]
-    whole = parts[0] if parts else read_findings(spark, None)
-    for part in parts[1:]:
-        whole = whole.union(part)
-    assert all(confined(base, r["f"]).startswith(base) for r in names)
-    return whole.groupBy("rule_id").agg(count_rows())
+    store_findings(_sample(spark, sf_dir), base)
+    stored = read_findings(spark, base)
+    last = stored.agg(F.max("event_date").alias("day")).first()["day"]
+    day = F.to_date("time").alias("day")
+    counts = stored.where(F.col("event_date") != F.lit(last)).groupBy(day).agg(F.lit(False).alias("by_file"), count_rows())
+    mine = stored.where(F.col("event_date") == F.lit(last))
+    names = [r["f"] for r in mine.select(file_column(base).alias("f")).distinct().collect()]  # the files of one date
+    assert all(confined(base, name).startswith(base) for name in names)
+    if names:
+        files = reduce(DataFrame.union, [read_findings(spark, base, name) for name in names])
+        counts = counts.union(files.groupBy(day).agg(F.lit(True).alias("by_file"), count_rows()))
+    return counts
 
 
 @query("store_external_findings", f"WITH {EV} SELECT severity, count(*) AS n, max(time_ms) AS latest FROM ev GROUP BY severity")
@@ -173,3 +184,21 @@ def alerts_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_findings(_sample(spark, sf_dir), base)
     found = get_alerts(read_findings(spark, base), "2024-01-10T00:00:00Z", "2024-01-12T00:00:00Z", limit=None)
     return found.groupBy((F.col("time") > F.timestamp_seconds(F.lit(0))).alias("later")).agg(count_rows())
+
+
+@query(
+    "rule_add",
+    f"""WITH {EV} SELECT rule_id, count(*) AS n FROM (SELECT 'old' AS rule_id FROM ev WHERE event_type = 'error'
+        UNION ALL SELECT 'new' FROM ev WHERE event_type = 'signup' AND k < 50) GROUP BY rule_id
+        UNION ALL SELECT unnest(['bad pattern', 'bad condition', 'bad modifier', 'old']), CAST(0 AS BIGINT)""",
+)
+def rule_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rules join the rule table when they compile and their id is free; hits of the table, and the refused ids with 0."""
+    old = rule_table(spark, [rule("old", sel={"event_type": "error"})])
+    made = [
+        rule("new", sel={"event_type": "signup", "k|lt": 50}), rule("old", sel={"event_type": "click"}), rule("bad pattern", sel={"event_type|re": "("}),
+        rule("bad condition", condition="sel and nobody", sel={"k": 1}), rule("bad modifier", sel={"k|sounds": 1}),
+    ]
+    rules, refused = add_rules(old, rule_table(spark, made))
+    hits = match_rules(prepare_table(typed_events(spark, sf_dir)), rules_of_table(rules))
+    return hits.groupBy("rule_id").agg(count_rows()).union(refused.select("id", F.lit(0).cast("long")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.functions.variants import get, json_or_text, variant_of
@@ -30,16 +30,14 @@ def read_text(
 
 
 def number_repeats(lines: DataFrame) -> DataFrame:
-    """Tell equal lines of a file apart: the second and later ones get their number behind the file.
+    """Tell equal lines (file, value) apart: the second and later ones get their number behind the file.
 
-    Only repeated lines are sorted, each file on its own; the rest pass through.
+    Equal lines are equal rows, so they are counted, in parts before the shuffle, and dealt out again: one
+    reading, and no task that holds all repeats of a line.
     """
-    keyed = lines.withColumn("__line", F.xxhash64("file", "value"))
-    repeated = keyed.groupBy("__line").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__line")
-    nth = F.row_number().over(Window.partitionBy("__line", "file", "value").orderBy(F.lit(1)))
-    file = F.when(nth > 1, F.concat("file", F.lit("#"), nth)).otherwise(F.col("file"))
-    again = keyed.join(repeated, "__line", "left_semi").withColumn("file", file)
-    return keyed.join(repeated, "__line", "left_anti").union(again).drop("__line")
+    counted = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("__n"))
+    each = counted.select("file", "value", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__nth"))
+    return each.select("value", F.when(F.col("__nth") > 1, F.concat("file", F.lit("#"), "__nth")).otherwise(F.col("file")).alias("file"))
 
 
 def read_pushed(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
