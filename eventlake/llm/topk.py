@@ -27,20 +27,20 @@ from eventlake.llm.common import select_only, settings, stored
 K, EVERY, SCALE = 20, 20, 64
 # Bounded sample to choose routing objects from, their number, and sizes of pages, shards and blocks.
 SAMPLE, ROUTING, PAGE, SHARD, BLOCK = 2048, 256, 1024, 32_768, 4096
-LARGEST = float(1 << 20)
+EXACT = 1 << 52  # squared norms up to here leave every product and distance exact in a double
 
 
 def _vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part; v holds floor(64 * x)."""
     rows = select_only(embeddings, vec_id="vec_id", v="embedding").where("vec_id IS NOT NULL AND v IS NOT NULL")
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~F.coalesce(odd, F.lit(True))).select(
-        F.col("vec_id").cast("long"), F.transform("v", lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("int")).alias("v")
+        F.col("vec_id").cast("long"), F.transform("v", lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("long")).alias("v")
     )
 
 
 def _matrix(column, dims: int) -> np.ndarray:
-    """Integer vectors as rows, short ones filled with zeros. Products of at most 2^26 a side stay exact in 64 bits."""
+    """Integer vectors as rows, short ones filled with zeros."""
     out = np.zeros((len(column), dims), np.int64)
     lengths = np.fromiter((len(x) for x in column), np.int64, len(column))
     flat = column.flatten().to_numpy() if isinstance(column, pa.Array) else np.array([i for x in column for i in x], np.int64)
@@ -50,23 +50,31 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 
 class Space:
-    """Distances in the lifted space. Small: the routing objects and a sample travel with it."""
+    """Distances in the lifted space. Small: the routing objects and a sample travel with it.
 
-    def __init__(self, dims: int, largest: int) -> None:
+    Up to `EXACT` all is exact as a double, which is faster. Beyond, products are 64-bit integers, so scores
+    stay exact as long as they fit; distances are rounded, and `slack` is more than they can be off.
+    """
+
+    def __init__(self, dims: int, largest: float) -> None:
         self.dims, self.largest = dims, largest
-        self.exact = largest < 1 << 52  # then every product is exact as a double, which is faster
+        self.exact = largest < EXACT
+        self.slack = 0.0 if self.exact else 8 * float(np.sqrt(largest * max(dims, 4) * 2.0**-50))
 
     def products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.exact:
             return a.astype(np.float64) @ b.astype(np.float64).T
         return a @ b.T
 
+    def square(self, v: np.ndarray) -> np.ndarray:
+        return (v.astype(np.float64) ** 2).sum(axis=1)
+
     def lift(self, v: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.largest - (v * v).sum(axis=1), 0).astype(np.float64))
+        return np.sqrt(np.maximum(self.largest - self.square(v), 0))
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances of vectors: their lifted components count."""
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * self.products(a, b)
+        square = self.square(a)[:, None] + self.square(b)[None, :] - 2.0 * (a.astype(np.float64) @ b.astype(np.float64).T)
         return np.sqrt(np.maximum(square + (self.lift(a)[:, None] - self.lift(b)[None, :]) ** 2, 0))
 
     def from_queries(self, norms: np.ndarray, products: np.ndarray) -> np.ndarray:
@@ -117,14 +125,15 @@ class Tree:
 
     def search(self, own: int, q: np.ndarray, k: int, floor_: float, to_tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, ids) among those of at least `floor_`, without the query's own row."""
-        norm = float((q * q).sum())
+        norm = float(self.space.square(q[None, :])[0])
+        number = float if self.space.exact else int
         point = q.astype(np.float64) if self.space.exact else q
 
         def ball(score: float) -> float:
             if score == -np.inf:
                 return np.inf
             distance = float(np.sqrt(max(norm + self.space.largest - 2.0 * score, 0)))
-            return distance + 1e-6 * (1 + distance)
+            return distance + 1e-6 * (1 + distance) + self.space.slack
 
         best, names, r = np.zeros(0, self.values.dtype), np.zeros(0, np.int64), ball(floor_)
         # Nodes by the least distance that anything below them can have; groups have negative numbers.
@@ -160,7 +169,7 @@ class Tree:
                         top = np.lexsort((names, -best))[:k]
                         best, names = best[top], names[top]
                     if len(best) == k:
-                        floor_ = max(floor_, float(best.min()))
+                        floor_ = max(floor_, number(best.min()))
                         r = ball(floor_)
         return best, names
 
@@ -178,12 +187,13 @@ def _search(space: Space, routing: np.ndarray, sample_ids: np.ndarray, sample: n
         if data.any() and len(asked):
             page = np.stack([rows["routing"].to_numpy()[data], rows["page"].to_numpy()[data]], axis=1)
             tree = Tree(space, routing, ids[data], v[data], page, rows["far"].to_numpy()[data])
-            norms = (v[asked] * v[asked]).sum(axis=1).astype(np.float64)
+            norms = space.square(v[asked])
+            number = float if space.exact else int
             to_tops = space.from_queries(norms[:, None], space.products(v[asked], tree.tops))
-            known = space.products(v[asked], sample).astype(np.float64)
+            known = space.products(v[asked], sample)
             for i, row in enumerate(asked):
                 others = known[i][sample_ids != ids[row]]
-                floor_ = float(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else -np.inf
+                floor_ = number(np.partition(others, len(others) - k)[len(others) - k]) if len(others) >= k else -np.inf
                 scores, names = tree.search(ids[row], v[row], k, floor_, to_tops[i])
                 out.append((np.full(len(names), ids[row]), names, scores.astype(np.int64)))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
@@ -215,15 +225,15 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     Queries are the rows whose vec_id is divisible by `every`; candidates are all rows with another
     vec_id. Ties go to the smaller vec_id. Rows take no part whose vec_id or vector is missing, or whose
-    vector has a missing, non-finite or huge (2^20 or more) component. Shorter vectors are filled with
+    vector has a missing or non-finite component. Scores are exact as long as they fit 64 bits. Shorter vectors are filled with
     zeros. Rows that repeat an id are candidates each; such an id asks once, by its smallest vector.
     With fewer than k candidates all are returned; an empty table gives an empty result.
     """
     spark = settings(embeddings.sparkSession)
     vectors = stored(_vectors(embeddings), "topk-vectors")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, largest, dims = vectors.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
-    space = Space(max(dims or 0, 1), largest or 0)
+    space = Space(max(dims or 0, 1), largest or 0.0)
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample_ids = np.array([r["vec_id"] for r in picked], np.int64)
     sample = _matrix([r["v"] for r in picked], space.dims)
@@ -231,7 +241,7 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     routing = routing_objects(space, sample)
 
-    schema = "vec_id long, v array<int>, routing int, far double"
+    schema = "vec_id long, v array<long>, routing int, far double"
     placed = stored(vectors.mapInArrow(_assign(space, routing), schema), "topk-placed")
     pages = placed.groupBy("routing").agg(F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("pages"))
     questions = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -32,6 +32,17 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_large_components_take_part(spark):
+    rows = [(20, [1.0, 1.0]), (1, [2.0**21, 0.0]), (2, [0.5, 0.5])]
+    assert run(spark, rows) == brute(rows) == [(20, 1, 1, 64 * 64 * 2**21), (20, 2, 2, 64 * 64)]
+    rng = np.random.default_rng(4)
+    for scale in (1e5, 2.0**23):  # products beyond what a double holds exactly, within 64 bits
+        centres = rng.normal(size=(4, 3)) * scale / 8
+        rows = [(i, [float(x) for x in np.clip(centres[i % 4] + rng.normal(size=3) * rng.choice([1, scale / 50]), -scale, scale)]) for i in range(500)]
+        rows += [(i, [scale, -scale, 1.0]) for i in range(500, 530)] + [(540, [3e38, 1.0, float("inf")])]
+        assert run(spark, rows) == brute(rows)
+
+
 def test_few_rows_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (7, [-1.0, 2.0])]
     assert run(spark, rows) == brute(rows)
