@@ -231,7 +231,7 @@ RULE_DIM = T.StructType(
 
 
 def build_findings(hits: DataFrame, rules: Iterable[Rule], keep: list[str] | None = None) -> DataFrame:
-    """Findings of hits with columns event_id, rule_id, time, correlation_uid (and `keep`).
+    """Findings of hits with columns event_id, rule_id, time, correlation_uid (and `keep`, and observables if there).
 
     `metadata.uid` is the event's id, shared by all its findings; `finding_info.uid` is unique.
     """
@@ -247,7 +247,7 @@ def build_findings(hits: DataFrame, rules: Iterable[Rule], keep: list[str] | Non
         "time",
         F.col("__level").alias("severity"),
         "rule_id",
-        F.lit(None).cast("string").alias("observables"),
+        (F.col("observables") if "observables" in hits.columns else F.lit(None).cast("string")).alias("observables"),
         F.struct(
             F.sha2(F.concat_ws("\u0001", "event_id", "rule_id"), 256).alias("uid"),
             F.col("__title").alias("title"),
@@ -261,17 +261,36 @@ def build_findings(hits: DataFrame, rules: Iterable[Rule], keep: list[str] | Non
     )
 
 
-def detect(events: DataFrame, rules: Iterable[Rule], strategy: str = "auto", keep_metadata: bool = False) -> DataFrame:
-    """Findings of events with VARIANT data; with `keep_metadata` also their `event_metadata`."""
+def observed(body: Column, names: Iterable[str]) -> Column:
+    """The named fields of an event as JSON text, those that it has; NULL when it has none of them."""
+    pairs = [x for n in names for x in (F.lit(n), get(body, *n.split("."), to="string"))]
+    if not pairs:
+        return F.lit(None).cast("string")
+    known = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    return F.when(F.size(known) > 0, F.to_json(known))
+
+
+def detect(
+    events: DataFrame,
+    rules: Iterable[Rule],
+    strategy: str = "auto",
+    keep_metadata: bool = False,
+    observe: Iterable[str] = (),
+) -> DataFrame:
+    """Findings of events with VARIANT data; with `keep_metadata` also their `event_metadata`.
+
+    `observe` names fields whose values a finding keeps as its observables, for correlations above all.
+    """
     rules = list(rules)
     data, meta = F.col("data"), F.col("metadata")
     full = events.withColumns(
         {
             "time": event_time(data, meta),
             "correlation_uid": correlation_uid(data, F.col("event_id")),
+            "observables": observed(detection_body(data, meta), list(observe)),
         }
     )
-    keep = ["event_id", "time", "correlation_uid"]
+    keep = ["event_id", "time", "correlation_uid", "observables"]
     if keep_metadata:
         full = full.withColumn("event_metadata", meta)
         keep.append("event_metadata")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.model import FINDING_CLASS_UID, class_path
-from eventlake.operators.route import INCOMING
+from eventlake.operators.route import CORRELATED, INCOMING
 from eventlake.operators.triage import fetch_alert
 from eventlake.sources.manifest import PACKED, Folder
 from eventlake.sources.store import read_files, read_findings
@@ -32,10 +32,13 @@ def _folder(spark: SparkSession, base: str) -> Folder:
 
 
 def index_batch(spark: SparkSession, base: str, batch_id: int | None = None) -> None:
-    """Index the findings a batch has written, its own and those that came in as events. A replay replaces its segment."""
+    """Index the findings a batch has written: its own, those that came in as events and those of correlations.
+
+    A replay replaces its segment.
+    """
     folder = _folder(spark, base)
     name = "all" if batch_id is None else str(batch_id)
-    files = [f for part in ("", INCOMING) for f in folder.files(f"batch_id={part}{name}/event_date=*/*.parquet")]
+    files = [f for part in ("", INCOMING, CORRELATED) for f in folder.files(f"batch_id={part}{name}/event_date=*/*.parquet")]
     segment = f"{BATCH}/segment={name}"
     if not files:
         folder.remove(segment)

@@ -26,6 +26,8 @@ FINDING_WRITE_OPTIONS = {
 JOBS_AT_ONCE = 8
 # Mark of the batch folders of findings that arrive as events.
 INCOMING = "in-"
+# Mark of the batch folders of findings that correlations made.
+CORRELATED = "corr-"
 # Annotations kept with every stored column set.
 CREATED_BY = "eventlake"
 
@@ -155,13 +157,13 @@ def store(
             routed.unpersist()
 
 
-def store_findings(findings: DataFrame, base: str, batch_id: int | None = None) -> None:
+def store_findings(findings: DataFrame, base: str, batch_id: int | None = None, part: str = "") -> None:
     """Write findings to their class. An empty result leaves no folder, also none of an earlier attempt."""
     if findings.isEmpty():
         if batch_id is not None:  # nothing is written, but an earlier attempt's folder goes
-            remove_dir(findings.sparkSession, _target(base, FINDING_CLASS_UID, batch_id))
+            remove_dir(findings.sparkSession, _target(base, FINDING_CLASS_UID, batch_id, part))
         return
-    write_class(findings, base, FINDING_CLASS_UID, batch_id)
+    write_class(findings, base, FINDING_CLASS_UID, batch_id, part)
 
 
 def store_batch(events: DataFrame, base: str, quarantine: str, **options) -> dict[int, int]:

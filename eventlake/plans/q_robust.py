@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from eventlake.model import CLASS_SCHEMAS
 from eventlake.operators.detect import add_rules, detect, match_rules, prepare_table
+from eventlake.operators.correlate import correlation_from_dict
 from eventlake.operators.route import store_batch, store_findings
 from eventlake.operators.rules import rule_table, rules_of_table
 from eventlake.operators.triage import get_alerts
@@ -202,3 +203,33 @@ def rule_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, refused = add_rules(old, rule_table(spark, made))
     hits = match_rules(prepare_table(typed_events(spark, sf_dir)), rules_of_table(rules))
     return hits.groupBy("rule_id").agg(count_rows()).union(refused.select("id", F.lit(0).cast("long")))
+
+
+@query(
+    "findings_correlated",
+    f"""WITH {EV}, met AS (
+          SELECT DISTINCT 'seq' AS rule_id, c.user_id, c.time_ms FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.time_ms BETWEEN a.time_ms AND a.time_ms + 43200000
+          JOIN ev c ON c.user_id = a.user_id AND c.time_ms >= b.time_ms AND c.time_ms <= a.time_ms + 43200000
+          WHERE a.event_type = 'signup' AND b.event_type = 'purchase' AND c.event_type = 'error'
+          UNION ALL SELECT DISTINCT 'many', user_id, time_ms FROM (SELECT user_id, time_ms, count(*) OVER (PARTITION BY user_id
+          ORDER BY time_ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS n FROM ev WHERE event_type = 'error') WHERE n >= 2)
+        SELECT rule_id, CASE rule_id WHEN 'seq' THEN 'Signup to error' ELSE 'Many errors' END AS title, CASE rule_id WHEN 'seq' THEN 'high' ELSE 'low' END AS severity,
+               CAST(user_id AS VARCHAR) AS user, time_ms, count(*) OVER () AS total FROM met""",
+)
+def findings_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations as rules of the ingest: three batches in no order of time, one replayed; each finding once."""
+    base, aside = scratch_dir(spark, "store"), scratch_dir(spark, "aside")
+    rules = [rule(i, sel={"activity_name": kind}) for i, kind in (("err", "error"), ("buy", "purchase"), ("new", "signup"))]
+    body = {"group-by": ["user.uid"], "timespan": "12h"}
+    specs = [
+        correlation_from_dict({"id": "seq", "title": "Signup to error", "level": "high", "correlation": {"type": "temporal_ordered", "rules": ["new", "buy", "err"], **body}}),
+        correlation_from_dict({"id": "many", "title": "Many errors", "level": "low", "correlation": {"type": "event_count", "rules": "err", **body, "timespan": "6h", "condition": {"gte": 2}}}),
+    ]
+    landed = model_events(spark, sf_dir).select("*", F.lit(None).cast("string").alias("reject_reason"), F.lit(None).cast("string").alias("raw"))
+    for batch in (0, 1, 2, 1):
+        mine = landed.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch)
+        process_batch(mine, batch, base=base, quarantine=aside, rules=lambda: rules, correlations=lambda: specs)
+    found = read_findings(spark, base).where(F.col("rule_id").isin("seq", "many"))
+    user = F.get_json_object("metadata.correlation_uid", "$['user.uid']").alias("user")
+    rows = found.select("rule_id", F.col("finding_info.title").alias("title"), "severity", user, F.unix_millis("time").alias("time_ms"))
+    return rows.withColumn("total", F.lit(found.count()).cast("long"))

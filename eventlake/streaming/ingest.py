@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from eventlake.operators.correlate import Correlation
 from eventlake.operators.detect import detect, event_time, usable_rules
 from eventlake.operators.envelope import accepted
 from eventlake.operators.idindex import index_batch
 from eventlake.operators.route import store, store_findings
 from eventlake.operators.rules import Rule
+from eventlake.streaming.correlation import observed_fields, store_correlated
 
 Normaliser = Callable[[DataFrame], DataFrame]
 FindingSink = Callable[[DataFrame, int], None]
@@ -46,11 +48,13 @@ def process_batch(
     sink: FindingSink | None = None,
     schemas: dict[int, T.StructType] | None = None,
     on_refused_rule: Callable[[dict[str, str]], None] | None = None,
+    correlations: Callable[[], list[Correlation]] = list,
 ) -> None:
     """Store the events of one batch, match them, store the findings and hand them downstream.
 
     `schemas` are the classes to store, with those of the user's own. A rule that does not compile is
-    set aside for the batch and reported to `on_refused_rule`; the others run.
+    set aside for the batch and reported to `on_refused_rule`; the others run. The `correlations` then
+    run over the stored findings around the batch's, and what they find is stored too.
     """
     landed = landed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -65,10 +69,12 @@ def process_batch(
         usable, refused_rules = usable_rules(events, rules())  # rules are read anew for each batch
         if refused_rules and on_refused_rule:
             on_refused_rule(refused_rules)
-        findings = detect(events, usable, keep_metadata=True)
+        specs = correlations()
+        findings = detect(events, usable, keep_metadata=True, observe=observed_fields(specs))
         if sink:  # matched once for both
             findings = findings.persist(StorageLevel.MEMORY_AND_DISK)
         store_findings(findings.drop("event_metadata"), base, batch_id)
+        store_correlated(events.sparkSession, base, batch_id, specs)
         index_batch(events.sparkSession, base, batch_id)
         if sink:
             sink(findings, batch_id)
@@ -90,6 +96,7 @@ def start_ingest(
     sink: FindingSink | None = None,
     schemas: dict[int, T.StructType] | None = None,
     on_refused_rule: Callable[[dict[str, str]], None] | None = None,
+    correlations: Callable[[], list[Correlation]] = list,
     every: str | None = "5 minutes",
 ) -> StreamingQuery:
     """Run `process_batch` over a landed stream; `every=None` takes what is there and stops."""
@@ -105,6 +112,7 @@ def start_ingest(
             sink=sink,
             schemas=schemas,
             on_refused_rule=on_refused_rule,
+            correlations=correlations,
         )
 
     writer = landed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
