@@ -66,6 +66,17 @@ def select_only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(alias) for alias, name in columns.items()])
 
 
+def sheltered(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with every column but the needed ones under a name that no operator uses, and the names: outer to inner."""
+    names = {c: c if c in needed else f"__extra{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str], *added: str) -> DataFrame:
+    """The columns of the input under their own names, and those an operator adds, which replace equal ones."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items() if c not in added], *added)
+
+
 def ranked(df: DataFrame, order: list[str], by: list[str], name: str, label: str) -> DataFrame:
     """Number the rows 0, 1, … by `order` within each group `by`, without one task per group.
 

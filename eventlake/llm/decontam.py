@@ -1,7 +1,7 @@
 """Benchmark decontamination: BM25 with block-max WAND, then verified overlap (operator 6).
 
-The benchmark items are the indexed side: an inverted index with impact blocks, built once on the driver
-from a table whose size is checked, and sent to the workers. Every training document is cut into
+The benchmark items are the indexed side: an inverted index with impact blocks, built on the driver, slice
+by slice of the items, and sent to the workers. Every training document is cut into
 passages that overlap by the longest item, so each item that a document quotes lies whole within one
 passage; each passage queries the index. An item's threshold is the least BM25 score that a text
 holding `overlap` of its five-word shingles can have, so retrieval loses nothing that verification
@@ -245,7 +245,11 @@ def _clean(index: Index):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of `docs` that quote no item, with all their columns."""
+    """The rows of `docs` that quote no item, with all their columns, whatever their names.
+
+    Missing and empty texts quote nothing and stay; repeated rows are judged alike; an empty table or benchmark
+    takes nothing away.
+    """
     settings(docs.sparkSession)
     for index in _indexes(benchmark, overlap):
         docs = docs.mapInArrow(_clean(index), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import BROADCAST_ROWS, ranked, select_only, settings, stored
+from eventlake.llm.common import BROADCAST_ROWS, ranked, restored, select_only, settings, sheltered, stored
 
 # Weights of the sources in code-point order, repeating; share of all words to take; most repeats.
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 7
@@ -143,9 +143,14 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents, with their columns: each row as often as the mix takes it."""
+    """The mixed documents, with their columns, whatever their names: each row as often as the mix takes it.
+
+    Missing texts have size 0 and are left out unless their source is taken whole; a missing source is one of
+    its own. Rows that repeat id and text are taken alike. An empty table gives an empty result.
+    """
+    inner, names = sheltered(docs, "doc_id", "text", "source")
     copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
-    return _with_copies(docs, **how).withColumn("__copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(_with_copies(inner, **how).withColumn("__copy", copies), names)
 
 
 MIX_SQL = f"""

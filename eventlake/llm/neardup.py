@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import forget, maybe_broadcast, select_only, settings, stored
+from eventlake.llm.common import forget, maybe_broadcast, restored, select_only, settings, sheltered, stored
 from eventlake.llm.components import components
 from eventlake.llm.words import BASE, column_words, mix
 
@@ -285,8 +285,10 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
 
     The row with the lowest doc_id stays (one without an id only if no other can), of several the one with the
     lowest hash of id and text. Rows are told apart by that hash, so rows without an id are dropped like others,
-    and a copy takes no other text of its id with it. Of rows that repeat id and text one stays.
+    and a copy takes no other text of its id with it. Of rows that repeat id and text one stays. Other columns
+    may have any name.
     """
+    docs, names = sheltered(docs, "doc_id", "text")
     sketched, named = _components(docs, percent)
     rows = sketched.where("n > 0").groupBy("key", "s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("k"))
     rows = stored(rows, "near-rows")
@@ -297,12 +299,11 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
     dropped = stored(keys.join(maybe_broadcast(keep, BROADCAST_IDS), "__key", "left_anti").select("__key"), "near-dropped")
     again = stored(keys.where("k > 1").join(maybe_broadcast(keep, BROADCAST_IDS), "__key", "left_semi").select("__key"), "near-again")
     left = _with_key(docs).join(maybe_broadcast(dropped, BROADCAST_IDS), "__key", "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
-        return left.select(*columns)
+        return restored(left, names)
     again = maybe_broadcast(again, BROADCAST_IDS)
     once = left.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-    return left.join(again, "__key", "left_anti").select(*columns).union(once.select(*columns))
+    return restored(left.join(again, "__key", "left_anti").unionByName(once), names)
 
 
 def _full_sets(some: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:

@@ -154,7 +154,11 @@ def _keep(model: Discriminant):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with all their columns."""
+    """The rows of `docs` that the classifier accepts, with all their columns, whatever their names.
+
+    Missing and empty texts are scored like others; repeated rows are judged alike. An empty table gives an
+    empty result.
+    """
     settings(docs.sparkSession)
     stats = stored(document_statistics(docs), "quality")
     return docs.mapInArrow(_keep(fit(stats, labels)), docs.schema)
