@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.operators.envelope import accepted, push_events
+from eventlake.operators.sessions import sessions, stream_sessions
 from eventlake.plans.q_correlate import _spec
 from eventlake.plans.registry import ORACLES, query
-from eventlake.plans.tables import EV, table
+from eventlake.plans.tables import EV, table, typed_events
 from eventlake.session import scratch_dir
 from eventlake.streaming.correlation import windowed_counts
 from eventlake.streaming.ingest import without_repeats
@@ -122,3 +123,31 @@ def stream_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _spec("temporal", ["signup", "purchase", "error"], "12h")
     out = closed(spark, hits_stream(spark, sf_dir), lambda hits: stream_sequences(hits, spec, "10 minutes"))
     return out.select("user_id", F.unix_micros("time").alias("us"), "n")
+
+
+_SESSIONS = f"""WITH {EV}, h AS (SELECT user_id, epoch_us(ts) AS us FROM ev WHERE event_type IN ('error', 'purchase')),
+    b AS (SELECT *, coalesce(us - lag(us) OVER w > 21600000000, true) AS fresh FROM h WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+    s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY us) AS nth FROM b)
+    SELECT user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM s GROUP BY user_id, nth"""
+
+
+def _watched(hits: DataFrame) -> DataFrame:
+    """Hits of the two rules; the condition names the time, so that marks still move the watermark."""
+    return hits.where(F.when(F.col("time").isNotNull(), F.col("rule_id").isin("error", "purchase")))
+
+
+def _flat_sessions(found: DataFrame) -> DataFrame:
+    return found.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("end").alias("last_us"), "n")
+
+
+@query("sessions_batch", _SESSIONS)
+def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of errors and purchases of a user with pauses of six hours at most."""
+    hits = typed_events(spark, sf_dir).select(F.col("event_type").alias("rule_id"), "user_id", F.col("ts").alias("time"))
+    return _flat_sessions(sessions(hits.where(F.col("rule_id").isin("error", "purchase")), ["user_id"], 21_600))
+
+
+@query("sessions_stream", _SESSIONS)
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream, open sessions included."""
+    return _flat_sessions(closed(spark, hits_stream(spark, sf_dir), lambda hits: stream_sessions(hits, ["user_id"], 21_600, "10 minutes", before=_watched)))
