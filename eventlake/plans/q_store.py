@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlake.functions.variants import get
 from eventlake.model import CLASS_SCHEMAS, class_path
 from eventlake.operators.coerce import coerce
 from eventlake.operators.compact import compact, expire
+from eventlake.operators.normalise import remap
 from eventlake.operators.route import export, route, store_batch, store_findings
-from eventlake.plans.q_detect import sample_findings
+from eventlake.plans.q_detect import rule, sample_findings
 from eventlake.plans.q_envelope import landed_records
 from eventlake.plans.registry import query
 from eventlake.plans.sample_rules import HITS
 from eventlake.plans.tables import EV, model_events, table, typed_events
 from eventlake.session import scratch_dir
-from eventlake.sources.landing import read_pushed
+from eventlake.sources.landing import land_pushed, read_pushed, read_text
 from eventlake.sources.store import file_column, read_class, read_findings, read_tree
 from eventlake.streaming.ingest import start_ingest
 
@@ -235,48 +237,45 @@ def export_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(both, "alerts").groupBy("class_uid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "stream_equals_batch",
-    f"""SELECT '6003' AS part, count(*) AS n FROM events WHERE event_id % 7 IN (5, 6)
-        UNION ALL SELECT 'finding', count(*) FROM events WHERE event_id % 7 IN (5, 6) AND CAST(json_extract_string(props, '$.k') AS BIGINT) < 10
-        UNION ALL SELECT 'aside', count(*) FROM events WHERE event_id % 7 < 5""",
-)
-def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed records through the streaming job: stored, found and refused rows."""
-    from eventlake.functions.variants import get
-    from eventlake.operators.normalise import remap
-    from eventlake.plans.q_detect import rule
+_STREAMED = """SELECT '6003' AS part, json_extract_string(props, '$.k') AS detail, {n} * count(*) AS n FROM events WHERE event_id % 7 IN (5, 6) GROUP BY detail
+    UNION ALL SELECT 'finding', 'low', {n} * count(*) FROM events WHERE event_id % 7 IN (5, 6) AND CAST(json_extract_string(props, '$.k') AS BIGINT) < 10
+    UNION ALL SELECT 'aside', NULL, {n} * count(*) FROM events WHERE event_id % 7 < 5"""
 
+
+def _streamed(spark: SparkSession, lines: DataFrame, **ingest) -> DataFrame:
+    """Landed lines through the streaming job: stored rows by their value, findings by rule, and refused rows."""
     landing, base = scratch_dir(spark, "landing"), scratch_dir(spark, "store")
     aside, mark = scratch_dir(spark, "aside"), scratch_dir(spark, "mark")
-    landed_records(spark, sf_dir).select("value").write.text(landing)
+    lines.write.text(landing)
+    landed = read_text(spark, landing, streaming=True, max_files=100) if "land" in ingest else read_pushed(spark, landing, streaming=True, max_files=100)
 
     def to_class(events: DataFrame) -> DataFrame:
         # Records with fields instead of a payload name no class here.
         uid = F.when(get(F.col("data"), "event_type").isNull(), F.lit(6003))
         return remap(events, {"class_uid": uid, "k": get(F.col("data"), "k", to="bigint")})
 
-    job = start_ingest(
-        read_pushed(spark, landing, streaming=True, max_files=100),
-        base=base,
-        quarantine=aside,
-        checkpoint=mark,
-        rules=lambda: [rule("low", sel={"k|lt": 10, "event_type|exists": False})],
-        normalise=to_class,
-        every=None,
-    )
-    job.awaitTermination()
-    count = F.count(F.lit(1)).alias("n")
-    parts = {
-        "6003": read_tree(spark, f"{base}/{class_path(6003)}"),
-        "finding": read_findings(spark, base),
-        "aside": read_tree(spark, aside),
-    }
-    out = None
-    for name, df in parts.items():
-        row = df.agg(count).select(F.lit(name).alias("part"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    rules = [rule("low", sel={"k|lt": 10, "event_type|exists": False})]
+    start_ingest(landed, base=base, quarantine=aside, checkpoint=mark, rules=lambda: rules, normalise=to_class, every=None, **ingest).awaitTermination()
+    parts = [
+        ("6003", F.col("k").cast("string"), read_class(spark, base, 6003)),
+        ("finding", F.col("rule_id"), read_findings(spark, base)),
+        ("aside", F.lit(None).cast("string"), read_tree(spark, aside)),
+    ]
+    counts = [df.groupBy(F.lit(name).alias("part"), detail.alias("detail")).agg(F.count(F.lit(1)).alias("n")) for name, detail, df in parts]
+    return reduce(DataFrame.union, counts)
+
+
+@query("stream_equals_batch", _STREAMED.format(n=1))
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed records through the streaming job."""
+    return _streamed(spark, landed_records(spark, sf_dir).select("value"))
+
+
+@query("stream_repeats", _STREAMED.format(n=2))
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is sent twice, as equal lines of one file: both are events of their own."""
+    lines = landed_records(spark, sf_dir).select("value")
+    return _streamed(spark, lines.union(lines).repartition(4, "value"), land=land_pushed)
 
 
 @query(

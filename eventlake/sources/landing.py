@@ -40,6 +40,15 @@ def number_repeats(lines: DataFrame) -> DataFrame:
     return each.select("value", F.when(F.col("__nth") > 1, F.concat("file", F.lit("#"), "__nth")).otherwise(F.col("file")).alias("file"))
 
 
+def land_pushed(lines: DataFrame) -> DataFrame:
+    """Landed rows of pushed records (value, file), equal lines of a file told apart.
+
+    A micro-batch holds files as a whole, so a stream of `read_text` that lands its batches by this gives the
+    same ids as `read_pushed` does in batch.
+    """
+    return push_events(number_repeats(lines), position=("file",))
+
+
 def read_pushed(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
     """Pushed record envelopes, one JSON text per line; see `push_events` for the layout."""
     lines = read_text(spark, path, streaming=streaming, max_files=max_files)

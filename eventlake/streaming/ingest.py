@@ -49,13 +49,17 @@ def process_batch(
     schemas: dict[int, T.StructType] | None = None,
     on_refused_rule: Callable[[dict[str, str]], None] | None = None,
     correlations: Callable[[], list[Correlation]] = list,
+    land: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Store the events of one batch, match them, store the findings and hand them downstream.
 
     `schemas` are the classes to store, with those of the user's own. A rule that does not compile is
     set aside for the batch and reported to `on_refused_rule`; the others run. The `correlations` then
-    run over the stored findings around the batch's, and what they find is stored too.
+    run over the stored findings around the batch's, and what they find is stored too. `land` makes landed
+    rows of raw ones: `landing.land_pushed`, for one, numbers equal lines, which a stream by itself cannot.
     """
+    if land:
+        landed = land(landed)
     landed = landed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         refused = landed.where("reject_reason IS NOT NULL").select("event_id", "reject_reason", "raw")
@@ -97,6 +101,7 @@ def start_ingest(
     schemas: dict[int, T.StructType] | None = None,
     on_refused_rule: Callable[[dict[str, str]], None] | None = None,
     correlations: Callable[[], list[Correlation]] = list,
+    land: Callable[[DataFrame], DataFrame] | None = None,
     every: str | None = "5 minutes",
 ) -> StreamingQuery:
     """Run `process_batch` over a landed stream; `every=None` takes what is there and stops."""
@@ -113,6 +118,7 @@ def start_ingest(
             schemas=schemas,
             on_refused_rule=on_refused_rule,
             correlations=correlations,
+            land=land,
         )
 
     writer = landed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

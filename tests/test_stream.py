@@ -12,7 +12,7 @@ from eventlake.operators.envelope import accepted
 from eventlake.operators.normalise import remap
 from eventlake.operators.rules import rule_from_dict
 from eventlake.session import scratch_dir
-from eventlake.sources.landing import read_pushed
+from eventlake.sources.landing import land_pushed, read_pushed, read_text
 from eventlake.sources.store import read_class, read_findings, read_tree
 from eventlake.streaming.correlation import windowed_counts
 from eventlake.plans.q_stream import run_out
@@ -65,6 +65,27 @@ def test_stream_restart_and_batch(spark, tmp_path):
     assert spark.read.parquet(f"{base}/{class_path(6003)}/batch_id=0").count() == 4
 
 
+def test_equal_lines_stay_and_a_file_sent_again_adds_nothing(spark, tmp_path):
+    landing = tmp_path / "landing"
+    base, aside, mark = (scratch_dir(spark, x) for x in "bqm")
+
+    def run():
+        start_ingest(
+            read_text(spark, str(landing), streaming=True), base=base, quarantine=aside, checkpoint=mark, rules=lambda: RULES, normalise=to_class, land=land_pushed, every=None,
+        ).awaitTermination()
+
+    land(landing, "a.json", [1, 3, 3, 3])
+    run()
+    land(landing, "a.json", [1, 3, 3, 3])  # sent again under its name
+    land(landing, "b.json", [3])
+    run()
+    assert sorted(r.k for r in read_class(spark, base, 6003).collect()) == [1, 3, 3, 3, 3]
+    found = read_findings(spark, base).select("metadata.uid").collect()
+    assert len(found) == len(set(found)) == 4
+    in_batch = accepted(read_pushed(spark, str(landing)))
+    assert {r.uid for r in found} <= {r.event_id for r in in_batch.collect()}
+
+
 def test_without_repeats(spark, tmp_path):
     landing = tmp_path / "landing"
     land(landing, "a.json", [1, 2])
