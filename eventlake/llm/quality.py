@@ -40,7 +40,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     for i in range(len(column)):
         upper, digit, stop, symbol, lines, solid = _KINDS @ np.bincount(buf[at[i] : at[i + 1]], minlength=256)
         words = hashes[begin[i] : begin[i + 1]]
-        n = len(words)
+        n, solid = len(words), max(solid, 1)  # words of control characters alone
         if n:
             kinds, counts = np.unique(words, return_counts=True)
             again = np.count_nonzero(words[1:] == words[:-1]) / (n + 10)
