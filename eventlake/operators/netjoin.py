@@ -44,7 +44,13 @@ def in_networks(events: DataFrame, address: str, networks: DataFrame, cidr: str
 
 
 def longest_network(events: DataFrame, by: list[str], address: str, networks: DataFrame, network_id: str, cidr: str = "cidr") -> DataFrame:
-    """Per event (`by`) the smallest network its address lies in, the least id of several: by, network_id, bits."""
-    found = in_networks(events.select(*by, address), address, networks.select(network_id, cidr), cidr)
+    """Per event (`by`) the smallest network its address lies in, the least id of several: by, network_id, bits.
+
+    Equal networks are one before the join, so an event finds one for each prefix length at most, however many
+    networks there are.
+    """
+    same = network_table(networks.select(network_id, cidr), cidr).groupBy("version", "bits", "start")
+    least = same.agg(F.max_by(F.struct(network_id, cidr), F.struct(-F.col(network_id))).alias("__n"))
+    found = in_networks(events.select(*by, address), address, least.select(f"__n.{network_id}", f"__n.{cidr}"), cidr)
     best = F.max_by(F.struct(network_id, "bits"), F.struct("bits", -F.col(network_id))).alias("__n")
     return found.groupBy(*by).agg(best).select(*by, f"__n.{network_id}", "__n.bits")

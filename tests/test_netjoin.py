@@ -3,6 +3,7 @@
 import ipaddress
 import random
 
+from eventlake.operators import netjoin
 from eventlake.operators.detect import match_rules, prepare_table
 from eventlake.operators.netjoin import in_networks, longest_network
 from tests.test_rules import rule
@@ -44,6 +45,23 @@ def test_networks_of_a_table(spark):
     assert in_networks(events, "ip", table.limit(0)).count() == 0
 
 
+def test_equal_networks_are_one_before_the_join(spark, monkeypatch):
+    """A table of a thousand equal networks: what is joined grows with the events alone."""
+    made = []
+
+    def watched(*args):
+        made.append(in_networks(*args))
+        return made[-1]
+
+    monkeypatch.setattr(netjoin, "in_networks", watched)
+    nets = spark.range(5, 1005).selectExpr("id AS net", "concat('10.', id % 200, '.0.0/8') AS cidr")
+    nets = nets.union(spark.createDataFrame([(3, "10.0.0.0/16"), (None, "10.0.0.0/16"), (None, "10.0.7.0/24")], "net long, cidr string"))
+    events = spark.range(200).selectExpr("id", "concat('10.0.', id % 8, '.1') AS ip")
+    rows = longest_network(events.union(events), ["id"], "ip", nets, "net").collect()
+    assert {r["id"]: (r["net"], r["bits"]) for r in rows} == {i: (None, 24) if i % 8 == 7 else (3, 16) for i in range(200)}
+    assert len(rows) == 200 and made[0].count() <= 400 * 3
+
+
 def test_network_rules_by_index(spark):
     nets, addresses = some(2)
     events = spark.createDataFrame(list(enumerate(addresses)), "id long, ip string")
