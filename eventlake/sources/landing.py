@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from eventlake.functions.variants import get, json_or_text, variant_of
 from eventlake.operators.envelope import EMPTY_METADATA, from_json_values, push_events, with_entries
 
+# Repeats of a line up to which its count is turned into rows in place, and rows of a run beyond that.
+FEW, RUN = 4, 1000
+
 
 def _reader(spark: SparkSession, streaming: bool, max_files: int | None = None):
     if not streaming:
@@ -33,10 +36,16 @@ def number_repeats(lines: DataFrame) -> DataFrame:
     """Tell equal lines (file, value) apart: the second and later ones get their number behind the file.
 
     Equal lines are equal rows, so they are counted, in parts before the shuffle, and dealt out again: one
-    reading, and no task that holds all repeats of a line.
+    reading, and no task that holds all repeats of a line. A count says nothing of the rows it stands for, so
+    large ones are cut into runs, which go to a fixed number of tasks before rows are made of them.
     """
     counted = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("__n"))
-    each = counted.select("file", "value", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__nth"))
+    few = counted.where(F.col("__n") <= FEW).select("file", "value", F.lit(1).cast("long").alias("__from"), F.col("__n").alias("__to"))
+    many = counted.where(F.col("__n") > FEW).withColumn("__run", F.explode(F.expr(f"sequence(0L, (__n - 1) DIV {RUN})")))
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = F.col("__run") * RUN
+    runs = many.repartition(tasks, "file", "value", "__run").select("file", "value", (start + 1).alias("__from"), F.least(start + RUN, "__n").alias("__to"))
+    each = few.union(runs).select("file", "value", F.explode(F.sequence("__from", "__to")).alias("__nth"))
     return each.select("value", F.when(F.col("__nth") > 1, F.concat("file", F.lit("#"), "__nth")).otherwise(F.col("file")).alias("file"))
 
 

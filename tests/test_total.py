@@ -14,7 +14,7 @@ from eventlake.operators.triage import get_alerts
 from eventlake.plans.adhoc import run_sql
 from eventlake.session import scratch_dir
 from eventlake.sources import store as reader
-from eventlake.sources.landing import read_ndjson
+from eventlake.sources.landing import number_repeats, read_ndjson
 
 TIMES = ["-9223372036854775808", "9223372036854775807", '"1700000000000"', '"x"', "null", "1700000000000", "9100000000000000"]
 
@@ -51,6 +51,17 @@ def test_equal_lines_have_their_own_ids(spark, tmp_path):
     assert len(set(ids())) == 6 and ids() == ids()
 
 
+def test_repeats_of_a_line_are_spread_over_tasks(spark):
+    """A count of repeats is one small row; the rows made of it are not one task's work."""
+    lines = spark.range(20_000).selectExpr("IF(id < 19990, 'hot', concat('v', id % 5)) AS value", "'f' AS file")
+    numbered = number_repeats(lines)
+    tasks = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 20_000 and max(tasks) < 10_000
+    want = {("hot", i) for i in range(1, 19_991)} | {(f"v{i}", n) for i in range(5) for n in (1, 2)}
+    rows = numbered.collect()
+    assert len(rows) == 20_000 and {(r["value"], int((r["file"] + "#1").split("#")[1])) for r in rows} == want
+
+
 @pytest.mark.parametrize("value,hit", [("NaN", False), ("7d", False), ("Infinity", False), (" 7 ", True), ("7.5e0", True), ("1e400", True)])
 def test_only_numbers_compare(spark, events, value, hit):
     assert (detect(events('{"n":"%s"}' % value), [rule(**{"n|gt": 5})]).count() == 1) is hit
