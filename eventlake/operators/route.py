@@ -5,10 +5,13 @@ Rows without a usable class, and rows their class's schema rejects, go to a quar
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +27,9 @@ FINDING_WRITE_OPTIONS = {
     "parquet.bloom.filter.expected.ndv#metadata.uid": "1000000",
 }
 JOBS_AT_ONCE = 8
+# Shuffled bytes that one task of a write takes at most. Stored rows are wide and mostly empty: 8 MB of them,
+# compressed, were 300 MB to sort.
+WRITE_BYTES = 8 << 20
 # Mark of the batch folders of findings that arrive as events.
 INCOMING = "in-"
 # Mark of the batch folders of findings that correlations made.
@@ -63,6 +69,19 @@ def describe(df: DataFrame, class_uid: int) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata={"comment": note}) for c in df.columns])
 
 
+@contextmanager
+def bounded_writes(spark: SparkSession) -> Iterator[None]:
+    """Rebalance to parts of `WRITE_BYTES` at most: a date of any size is sorted in tasks of bounded memory."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    given = spark.conf.get(key)
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", given.strip().lower()).groups()
+    spark.conf.set(key, str(min(int(number) << 10 * " kmgtp".index(unit or " "), WRITE_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
+
+
 def write_class(df: DataFrame, base: str, class_uid: int, batch_id: int | None = None, part: str = "") -> None:
     """Write coerced rows of one class, in a folder for each date, so that a time range opens few files.
 
@@ -145,7 +164,7 @@ def store(
         # The classes' jobs do not depend on each other: submitted together, small classes fill the
         # executors that the last tasks of a large one leave idle.
         work = inheritable_thread_target(spark)(store_class)
-        with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
+        with bounded_writes(spark), ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
             jobs = {int(r["part"]): pool.submit(work, int(r["part"]), r["count"]) for r in present}
         stored = {uid: job.result() for uid, job in jobs.items() if uid in schemas}
         unusable = parts.where(~usable)
@@ -163,7 +182,8 @@ def store_findings(findings: DataFrame, base: str, batch_id: int | None = None,
         if batch_id is not None:  # nothing is written, but an earlier attempt's folder goes
             remove_dir(findings.sparkSession, _target(base, FINDING_CLASS_UID, batch_id, part))
         return
-    write_class(findings, base, FINDING_CLASS_UID, batch_id, part)
+    with bounded_writes(findings.sparkSession):
+        write_class(findings, base, FINDING_CLASS_UID, batch_id, part)
 
 
 def store_batch(events: DataFrame, base: str, quarantine: str, **options) -> dict[int, int]:

@@ -2,10 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlake.model import FINDING_SCHEMA, category_of, class_path
+from eventlake.operators import route as route_module
+from eventlake.operators.detect import detect
 from eventlake.operators.route import export, route, store, store_batch, store_findings
 from eventlake.plans.adhoc import as_json, run_sql
 from eventlake.session import scratch_dir
 from eventlake.sources import store as reader
+from tests.test_rules import rule
 
 
 def test_class_paths():
@@ -144,3 +147,18 @@ def test_a_time_range_reads_only_its_dates(spark, events):
     assert "PartitionFilters: [isnotnull(event_date" in plan and some.count() == 3
     assert len(found.where("event_date = DATE'2023-11-16'").inputFiles()) >= 1 and found.count() == 21
     assert "PartitionFilters: [isnotnull(event_date" in recent_events(found)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_date_are_written_by_tasks_of_bounded_size(spark, monkeypatch):
+    """Findings of one date and events without one, more than a task should sort."""
+    monkeypatch.setattr(route_module, "WRITE_BYTES", 64 << 10, raising=False)
+    base, aside = scratch_dir(spark, "b"), scratch_dir(spark, "q")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    text = "concat('{\"class_uid\":6003,\"k\":1,\"activity_name\":\"', sha2(string(id), 256), '\"}')"
+    made = spark.range(0, 8000, 1, 8).selectExpr("sha2(string(id), 256) AS event_id", f"parse_json({text}) AS data", "cast(map() AS map<string,variant>) AS metadata")
+    store_batch(made, base, aside)
+    store_findings(detect(made, [rule(sel={"k": 1})]), base)
+    for stored in (reader.read_class(spark, base, 6003), reader.read_findings(spark, base)):
+        files = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+        assert sum(files) == 8000 and max(files) < 6000
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == size
