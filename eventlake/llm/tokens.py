@@ -16,6 +16,7 @@ that partition; the `parts` table has the first token of each partition.
 
 from __future__ import annotations
 
+import gc
 import string
 import struct
 import zlib
@@ -118,7 +119,7 @@ class WordCoder:
     encoded whole. A tokenizer for which white space matters is always applied to whole texts.
     """
 
-    LIMIT, RECENT, SEP = 2_000_000, 1 << 14, "\x01"
+    LIMIT, RECENT, SEP = 300_000, 1 << 14, "\x01"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -266,6 +267,13 @@ def _coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def _drop_coder() -> None:
+    """Give the words of a task back: workers live on, and later stages need the memory."""
+    _coder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(ids) + len(counts), end_id, np.uint32)
     out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
@@ -290,21 +298,25 @@ def _pack(path: str, end_id: int):
             names = ["part", "seq", "start", "n_tokens", "doc_ids", "doc_tokens", "image"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        for batch in batches:
-            ids, counts = _with_ends(*coder.column(batch.column("text")), end_id)
-            names, ends, row = batch.column("doc_id").to_pylist(), np.cumsum(counts), 0
-            while row < len(names):
-                room = IMAGE_TOKENS - sum(map(len, held))
-                first = int(ends[row - 1]) if row else 0
-                last = max(row + 1, int(np.searchsorted(ends, first + room, side="right")))
-                docs += names[row:last]
-                sizes.append(counts[row:last])
-                held.append(ids[first : int(ends[last - 1])])
-                row = last
-                if sum(map(len, held)) >= IMAGE_TOKENS or row < len(names):
-                    yield image()
-        if docs:
-            yield image()
+        try:
+            for batch in batches:
+                ids, counts = _with_ends(*coder.column(batch.column("text")), end_id)
+                names, ends, row = batch.column("doc_id").to_pylist(), np.cumsum(counts), 0
+                while row < len(names):
+                    room = IMAGE_TOKENS - sum(map(len, held))
+                    first = int(ends[row - 1]) if row else 0
+                    last = max(row + 1, int(np.searchsorted(ends, first + room, side="right")))
+                    docs += names[row:last]
+                    sizes.append(counts[row:last])
+                    held.append(ids[first : int(ends[last - 1])])
+                    row = last
+                    if sum(map(len, held)) >= IMAGE_TOKENS or row < len(names):
+                        yield image()
+            if docs:
+                yield image()
+        finally:
+            del coder
+            _drop_coder()
 
     return run
 

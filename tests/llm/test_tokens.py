@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from eventlake.llm import tokens
 from eventlake.llm.tokens import Image, WordCoder, encode, read_token_files, write_token_files
 from eventlake.session import scratch_dir
 
@@ -41,6 +42,17 @@ def test_store_of_words_starts_anew_when_full(monkeypatch):
     assert ids.tolist() == coder._plain("one two three four five six seven one two")
 
 
+def test_a_task_leaves_no_words_in_its_worker(monkeypatch):
+    """Workers outlive the stage: what a task has learnt would stay beside the memory of all later stages."""
+    monkeypatch.setattr(tokens.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 3})()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(TEXTS[:2])], ["doc_id", "text"])
+    (image,) = tokens._pack(PATH, 2)(iter([batch]))
+    assert image.column("part").to_pylist() == [3] and tokens._coder.cache_info().currsize == 0
+    with pytest.raises(KeyError):
+        list(tokens._pack(PATH, 2)(iter([batch.select(["doc_id"])])))
+    assert tokens._coder.cache_info().currsize == 0 and WordCoder.LIMIT <= 300_000
+
+
 def test_a_tokenizer_that_keeps_white_space_sees_whole_texts():
     coder = WordCoder(P.path("byte_bpe_50k.json"))
     assert not coder.by_word
